@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from propgraph.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup_query
 from propgraph.llm.fingerprint import fingerprint_query
+from propgraph.llm.minhash import NEAR_DEDUP_SQL, near_dedup_query
 from propgraph.llm.mixing import mixing_query
+from propgraph.llm.packing import packing_query
 from propgraph.llm.pii import pii_query
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing_query,
         "op4_pii": pii_query,
         "op6_mixing": mixing_query,
+        "op8_near_dedup": near_dedup_query,
         "op9_fingerprints": fingerprint_query,
         "op10_exact_dedup": exact_dedup_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op8_near_dedup": NEAR_DEDUP_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}
