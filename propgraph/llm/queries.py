@@ -8,11 +8,13 @@ from propgraph.llm.minhash import NEAR_DEDUP_SQL, near_dedup_query
 from propgraph.llm.mixing import mixing_query
 from propgraph.llm.packing import packing_query
 from propgraph.llm.pii import pii_query
+from propgraph.llm.warc import warc_query
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing_query,
+        "op3_warc": warc_query,
         "op4_pii": pii_query,
         "op6_mixing": mixing_query,
         "op8_near_dedup": near_dedup_query,
