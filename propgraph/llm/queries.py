@@ -10,12 +10,14 @@ from propgraph.llm.mixing import mixing_query
 from propgraph.llm.packing import packing_query
 from propgraph.llm.pii import pii_query
 from propgraph.llm.quality import quality_query
+from propgraph.llm.suffix_dedup import suffix_query
 from propgraph.llm.warc import warc_query
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing_query,
+        "op2_suffix_dedup": suffix_query,
         "op3_warc": warc_query,
         "op4_pii": pii_query,
         "op5_langid": langid_query,
