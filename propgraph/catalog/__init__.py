@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from propgraph.catalog.registry import ORACLES, QUERIES
+
+from propgraph.catalog import algorithms, basic, languages, statistics, tools  # noqa: E402,F401  (they register)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
