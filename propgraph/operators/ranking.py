@@ -66,8 +66,8 @@ def katz(edges: DataFrame, nodes: DataFrame, alpha: float = 0.01, beta: float =
 
 
 def _normed(vector: DataFrame) -> DataFrame:
-    """Divided by its L2 norm, one number that is fetched; the vector is kept for that."""
-    vector = vector.persist()
+    """Divided by its L2 norm, one number that is fetched; the vector is written for that."""
+    vector = staged(vector, "vector")
     norm = vector.agg(F.sqrt(F.sum(F.col("val") * F.col("val")))).head()[0] or 0.0
     return vector.select("id", (F.col("val") / norm if norm > 0 else F.lit(0.0)).alias("val"))
 

@@ -80,7 +80,7 @@ def core_numbers(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) ->
 
 def k_truss(edges: DataFrame, k: int) -> DataFrame:
     """(src, tgt): the largest set of edges of which each lies in at least k - 2 triangles of the set."""
-    kept = Rounds("truss", every=2)
+    kept = Rounds("truss")
     now = kept.keep(edges.select("src", "tgt"))
     size = now.count()
     while True:
@@ -166,7 +166,7 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFr
     links = staged(both_ways(edges), "edges")
     degrees = staged(links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg")), "degrees")
     total = float(max(1, links.count()))
-    kept = Rounds("louvain", every=2)
+    kept = Rounds("louvain")
     state = kept.keep(nodes.select("id", F.col("id").alias("label")))
     for k in range(rounds):
         sums = state.join(degrees, "id").groupBy("label").agg(F.sum("deg").alias("tot"))
@@ -184,7 +184,7 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFr
 def refined_colours(edges: DataFrame, nodes: DataFrame, rounds: int = 3) -> DataFrame:
     """(id, colour): Weisfeiler-Lehman refinement of directed graphs; graphs with unequal colour counts are not isomorphic."""
     links = staged(edges.select("src", "tgt"), "edges")
-    kept = Rounds("colours", every=3)
+    kept = Rounds("colours")
     state = nodes.select("id", F.lit(1).cast("long").alias("colour"))
     for _ in range(rounds):
         def heard(near: str, far: str, name: str, state: DataFrame = state) -> DataFrame:

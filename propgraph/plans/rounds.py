@@ -8,22 +8,16 @@ from propgraph.plans.staging import staged
 
 
 class Rounds:
-    """Keeps the state of successive rounds: in executors' memory, and every ``every`` rounds as a
-    table in the shared folder, so that lineage and what a lost executor costs stay bounded."""
+    """Writes the state of every ``every``-th round to the shared folder and reads it back.
 
-    def __init__(self, tag: str, every: int = 5):
+    A state that its successor mentions twice would double the plan each round, so it is written each
+    time; one that is mentioned once may run several rounds in one job. Lost executors cost the
+    rounds since the last table, never the loop.
+    """
+
+    def __init__(self, tag: str, every: int = 1):
         self.tag, self.every, self.count = tag, every, 0
-        self.held: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """The state of a round; those from before the last table are released."""
         self.count += 1
-        if self.count % self.every == 0:
-            df = staged(df, self.tag)
-            for old in self.held:
-                old.unpersist()
-            self.held = []
-            return df
-        df = df.persist()
-        self.held.append(df)
-        return df
+        return staged(df, self.tag) if self.count % self.every == 0 else df

@@ -85,13 +85,14 @@ def block_model(spark: SparkSession, nodes: int = 5000, communities: int = 10, p
         size = same if inner else F.lit(nodes) - same
         most = F.greatest(F.lit(1), F.ceil(size * p + 12 * F.sqrt(size * p) + 40)).cast("int")
 
-        def jump(acc: Column, k: Column, inner: bool = inner, p: float = p) -> Column:
+        def jump(acc: Column, k: Column) -> Column:
             u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(inner), F.col("id"), k), 11) / F.lit(float(1 << 53))
             step = F.lit(1) if p >= 1 else (F.floor(F.log(1 - u) / F.log(F.lit(1 - p))) + 1)
             at = acc["at"] + step.cast("long")
             return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
 
         empty = F.struct(F.lit(-1).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        # the lambda is built here, while inner and p are those of this turn
         hits = F.explode(F.aggregate(F.sequence(F.lit(1), most), empty, jump, lambda acc: acc["out"]))
         rows = spark.range(nodes).select(F.col("id").alias("src"), size.cast("long").alias("size"), hits.alias("nth")).filter("nth < size")
         own = F.col("src") % communities
