@@ -11,8 +11,11 @@ distinct runs of five words, or its whole sequence if that is shorter. Documents
    probability (uniform prior) that it reaches the threshold is below ``MISS``.
 4. Survivors are verified on their full sets. Connected components join the links.
 5. In a bucket whose members are now all in one component, nothing is left to find. In the others,
-   every member outside the bucket's main component meets every member of another component,
-   in blocks of bounded size, so no link between components is lost; then 4 again.
+   every member outside the bucket's main component is compared by signature with every member of
+   another component, in blocks of bounded size; only (member, other component) is passed on, the
+   member from the smaller of the two. It is then verified on full sets against the other
+   component's members, likest first and in blocks, until one is linked. So no link between
+   components is lost, and no pairs are emitted but links.
 
 Defined cases. Null and blank texts have an empty set and are linked with nothing. A row whose id is
 null is linked with nothing, has no component and is kept. Rows that repeat share their class;
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm.words import mix64, shingle_set
@@ -40,7 +43,7 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BATCH = 25
 MISS = 1e-5
-BLOCK = 2048
+BLOCK = 1024
 _SALT = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 _XOR, _MULTIPLY = _SALT[:HASHES, None], _SALT[HASHES:, None] | np.uint32(1)
 
@@ -134,62 +137,105 @@ def _pruned(percent: int):
     return prune
 
 
-def _crossing(percent: int):
-    """Survivors between the probes and the other components of each block, from rows sorted by block."""
-    bounds = least_matches(percent)
-
-    def one(block: pd.DataFrame) -> pd.DataFrame | None:
-        sig, ids, comp, n = _bytes(block["sig"]), block["id"].to_numpy(), block["comp"].to_numpy(), block["n"].to_numpy()
-        probe = block["probe"].to_numpy()
-        others = np.flatnonzero(~probe)
-        a, b = [], []
-        for i in np.flatnonzero(probe):
-            near = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            if len(near):
-                left = near[survives(np.broadcast_to(sig[i], (len(near), HASHES)), sig[near], bounds)]
-                a += [ids[i]] * len(left)
-                b += ids[left].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a else None
+def _by_block(one):
+    """Applies ``one`` to the rows of each block (key, i, j), from rows sorted by block."""
+    keys = ["key", "i", "j"]
 
-    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the rows of the last block, which may go on in the next batch
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys = pdf[["key", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if held and (held[-1][["key", "i", "j"]].to_numpy()[-1] != keys[0]).any():
-                out = one(pd.concat(held))
+            values = pdf[keys].to_numpy()
+            cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+            found = []
+            if held and (held[-1][keys].to_numpy()[-1] != values[0]).any():
+                found.append(one(pd.concat(held)))
                 held = []
-                if out is not None:
-                    yield out
             pieces = [pdf.iloc[s:e] for s, e in zip([0, *cuts], [*cuts, len(pdf)], strict=True)]
-            found = []
             for piece in pieces[:-1]:
-                out = one(pd.concat([*held, piece]) if held else piece)
+                found.append(one(pd.concat([*held, piece]) if held else piece))
                 held = []
-                if out is not None:
-                    found.append(out)
             held.append(pieces[-1])
-            if found:
+            if found := [f for f in found if f is not None]:
                 yield pd.concat(found)
         if held and (out := one(pd.concat(held))) is not None:
             yield out
 
-    return cross
+    return run
+
+
+def _crossing(percent: int):
+    """(a, comp): a document, and a larger component that a signature in its block calls near."""
+    bounds = least_matches(percent)
+
+    def one(block: pd.DataFrame) -> pd.DataFrame | None:
+        sig, ids, comp, n, weight = _bytes(block["sig"]), block["id"].to_numpy(), block["comp"].to_numpy(), block["n"].to_numpy(), block["weight"].to_numpy()
+        probe = block["probe"].to_numpy()
+        others = np.flatnonzero(~probe)
+        found = set()
+        for i in np.flatnonzero(probe):
+            near = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            if len(near):
+                for k in near[survives(np.broadcast_to(sig[i], (len(near), HASHES)), sig[near], bounds)]:
+                    less = (weight[i], comp[i]) < (weight[k], comp[k])
+                    found.add((ids[i], comp[k]) if less else (ids[k], comp[i]))
+        return pd.DataFrame(sorted(found), columns=["a", "comp"]) if found else None
+
+    return _by_block(one)
+
+
+def _linking(percent: int):
+    """(a, b): for each probe of a block the first of the block's other members, likest first, that it is linked with."""
+    bounds = least_matches(percent)
+
+    def one(block: pd.DataFrame) -> pd.DataFrame | None:
+        sig, ids, n, sets = _bytes(block["sig"]), block["id"].to_numpy(), block["n"].to_numpy(), block["set"].to_list()
+        probe = block["probe"].to_numpy()
+        others = np.flatnonzero(~probe)
+        links = []
+        for i in np.flatnonzero(probe):
+            near = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+            if not len(near):
+                continue
+            near = near[survives(np.broadcast_to(sig[i], (len(near), HASHES)), sig[near], bounds)]
+            for k in near[np.argsort(-(sig[near] == sig[i]).sum(axis=1), kind="stable")]:
+                shared = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * shared >= percent * (n[i] + n[k] - shared):
+                    links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                    break
+        return pd.DataFrame(links, columns=["a", "b"]) if links else None
+
+    return _by_block(one)
+
+
+def _sets(ids: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, set) of class representatives, from their texts."""
+    wanted = classes.select("id", "digest").join(ids.select("id").distinct(), "id", "left_semi")
+    read = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInPandas(_full_sets, "id long, digest binary, set array<long>")
+    return read.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "set")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are linked, decided on their full sets."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.select("id", "digest").join(ends, "id", "left_semi")
-    read = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInPandas(_full_sets, "id long, digest binary, set array<long>")
-    sets = staged(read.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "set"), "near-sets")
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = staged(_sets(ends, texts, classes), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b").distinct()
 
 
+def _blocks(others: DataFrame, probes: DataFrame, n_others: Column, n_probes: Column, columns: list[str]) -> DataFrame:
+    """Rows (key, i, j, probe, id, columns) such that each probe of a key meets each other row in one
+    block (i, j) of at most about ``BLOCK`` of either kind, sorted by block within partitions."""
+    down, across = F.ceil(n_probes / BLOCK).cast("int"), F.ceil(n_others / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), across.cast("long")).cast("int")
+    theirs = F.pmod(F.xxhash64("id", F.lit(1)), down.cast("long")).cast("int")
+    left = others.select("key", F.explode(F.sequence(F.lit(0), down - 1)).alias("i"), mine.alias("j"), F.col("_ask").alias("probe"), "id", *columns)
+    right = probes.select("key", theirs.alias("i"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"), F.col("_ask").alias("probe"), "id", *columns)
+    return left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable), kept."""
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
@@ -215,20 +261,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     joined = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # buckets that still hold more than one component
-    where = members.join(joined, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
+    comps = classes.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    comps = staged(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "comp"), "near-comps")
+    where = members.join(comps, "id").select("key", "id", "size", "comp", "weight")
     parts = where.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mains = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m"), F.count(F.lit(1)).alias("parts"))
     mains = staged(mains.filter("parts > 1").select("key", F.col("m.comp").alias("main"), F.col("m.rows").alias("in_main")), "near-open")
     open_rows = where.join(mains, "key").join(slim, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    probes = F.ceil((F.col("size") - F.col("in_main")) / BLOCK).cast("int")
-    dealt = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    ask = F.pmod(F.xxhash64("id", F.lit(1)), probes.cast("long")).cast("int")
-    others = open_rows.select("key", F.explode(F.sequence(F.lit(0), probes - 1)).alias("i"), dealt.alias("j"), F.lit(False).alias("probe"), "id", "comp", "n", "sig")
-    strays = open_rows.filter("comp <> main").select("key", ask.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("probe"), "id", "comp", "n", "sig")
-    blocked = others.unionByName(strays).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = staged(blocked.mapInPandas(_crossing(percent), "a long, b long").distinct(), "near-pairs")
-    more = staged(_verified(more, texts, classes, percent), "near-links")
+    blocked = _blocks(
+        open_rows.withColumn("_ask", F.lit(False)), open_rows.filter("comp <> main").withColumn("_ask", F.lit(True)),
+        F.col("size"), F.col("size") - F.col("in_main"), ["comp", "weight", "n", "sig"],
+    )
+    near = staged(blocked.mapInPandas(_crossing(percent), "a long, comp long").distinct(), "near-components")
+    asked = near.groupBy("comp").agg(F.count(F.lit(1)).alias("asking"))
+    inside = comps.join(asked, "comp").join(slim, "id").withColumn("key", F.col("comp"))
+    asking = near.join(asked, "comp").join(comps.select("comp", "weight").distinct(), "comp").withColumnRenamed("a", "id").join(slim, "id").withColumn("key", F.col("comp"))
+    sets = staged(_sets(inside.select("id").unionByName(asking.select("id")), texts, classes), "near-sets")
+    blocked = _blocks(inside.join(sets, "id").withColumn("_ask", F.lit(False)), asking.join(sets, "id").withColumn("_ask", F.lit(True)), F.col("weight"), F.col("asking"), ["n", "sig", "set"])
+    more = staged(blocked.mapInPandas(_linking(percent), "a long, b long").distinct(), "near-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         joined = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
