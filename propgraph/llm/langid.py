@@ -147,8 +147,9 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
         for batch in texts:
             yield pd.DataFrame([shared.value.infer(trigrams(t)) for t in batch], columns=["pred", "score", "shares"])
 
-    rows = docs.select(*kept, infer(docs[text_column]).alias("_lang"))
-    return rows.select(*kept, F.col("_lang.pred").alias("lang_pred"), F.col("_lang.score").alias("lang_score"), F.col("_lang.shares").alias("lang_shares"))
+    own = "_lang" + "_" * max(map(len, docs.columns))  # a name that no column has
+    rows = docs.select(*kept, infer(docs[text_column]).alias(own))
+    return rows.select(*kept, F.col(f"{own}.pred").alias("lang_pred"), F.col(f"{own}.score").alias("lang_score"), F.col(f"{own}.shares").alias("lang_shares"))
 
 
 def langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,20 +128,20 @@ def _of_kind(spans: Column, kind: str) -> Column:
 
 def find_personal_data(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with ``pii``, an array of (kind, start, end, score, match): base spans and added ones."""
-    text = F.coalesce(docs[text_column], F.lit(""))
-    out = docs.withColumn("_pii_text", text)
-    text = F.col("_pii_text")
+    own = "_pii" + "_" * max(map(len, docs.columns))  # a prefix that no column has
+    out = docs.withColumn(f"{own}text", F.coalesce(docs[text_column], F.lit("")))
+    text, base = F.col(f"{own}text"), F.col(f"{own}base")
     for kind in KINDS:  # one projection a kind, so that each pattern runs once
-        out = out.withColumn(f"_pii_{kind}", _candidates(text, kind))
+        out = out.withColumn(f"{own}{kind}", _candidates(text, kind))
     for kind in KINDS:
-        out = out.withColumn(f"_pii_{kind}", _confirmed(kind, text, F.col(f"_pii_{kind}")))
-    out = out.withColumn("_pii_base", F.concat(*[F.col(f"_pii_{k}") for k in BASE]))
+        out = out.withColumn(f"{own}{kind}", _confirmed(kind, text, F.col(f"{own}{kind}")))
+    out = out.withColumn(f"{own}base", F.concat(*[F.col(f"{own}{k}") for k in BASE]))
     added = [
-        F.filter(F.col(f"_pii_{k}"), lambda s: (s["score"] >= THRESHOLD - 1e-9) & ~F.exists(F.col("_pii_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        F.filter(F.col(f"{own}{k}"), lambda s: (s["score"] >= THRESHOLD - 1e-9) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         for k in KINDS[4:]
     ]
-    out = out.withColumn("pii", F.concat(F.col("_pii_base"), *added).cast(f"array<{_SPAN}>"))
-    return out.drop("_pii_text", "_pii_base", *[f"_pii_{k}" for k in KINDS])
+    out = out.withColumn("pii", F.concat(base, *added).cast(f"array<{_SPAN}>"))
+    return out.drop(f"{own}text", f"{own}base", *[f"{own}{k}" for k in KINDS])
 
 
 def mask_personal_data(docs: DataFrame, text_column: str = "text") -> DataFrame:
