@@ -1 +1 @@
-
+"""Functions on relations: statistics and sketches."""

@@ -1 +1 @@
-
+"""Operators on node sets, vectors and edges."""

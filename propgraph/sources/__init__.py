@@ -1 +1 @@
-
+"""Where graphs come from and go to."""

@@ -1 +1 @@
-
+"""The engine has no streaming operators; its DataFrames can be written from streams like any other."""

@@ -219,3 +219,29 @@ def test_vectors_sets_and_upkeep(spark):
     assert sampling.sample_neighbours(generate.star(spark, 50), sets.of(spark, [0]), [7]).count() == 7
     w = sampling.random_walks(e, sets.of(spark, [0, 2]), 4)
     assert w.count() == 10 and w.filter("walker = 2 and id <> 2").isEmpty()
+
+
+def test_vector_language(spark):
+    from propgraph.plans.script import Script
+
+    g = PropertyGraph(spark).add_domain("v", spark.range(4)).add_relation("r", "v", "v", edges(spark, [(0, 1), (1, 2), (0, 2)], [5, 1, 9]))
+    text = """
+/ shortest distances
+fn far(g, start) {
+    d: vector(0, INF)
+    d[bitset start]: 0
+    old: vector(0, 0)
+    until[(sum abs(change)) == 0] {
+        old: d
+        d: min(d, g @[d; min+])     / relax all edges
+        change: (old > d) | (d > old) ? vector(0, 1.0) : vector(0, 0)
+    }
+    return d
+}
+fn two(g) { return 1 + 2 * 3 > 6 ? "yes" : "no" }
+"""
+    s = Script(g, "r", text, "w")
+    assert values(s.run("far", 0), "id", "val") == [(0, 0.0), (1, 5.0), (2, 6.0), (3, float("inf"))]
+    assert s.run("two") == "yes"
+    with pytest.raises(NameError):
+        Script(g, "r", "fn f(g) { return nothing }").run("f")
