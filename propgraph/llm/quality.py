@@ -7,7 +7,9 @@ by Gumbel noise seeded with the id, and the top ``k`` are taken: sampling withou
 proportion to the weights. The k-th key is found with a histogram of keys, so only one narrow bin is
 sorted.
 
-The raw model counts all documents. The target model counts all labelled target documents.
+The raw model counts all documents. The target model is fitted on at most ``TARGET_DOCS`` labelled
+documents, those of the least hash of their id; their ids are broadcast, so one pass over the texts
+counts for both models and no text is shuffled.
 
 Defined cases. Null and blank text has no n-grams: log ratio 0, never selected. Null labels count as
 not labelled. A null id gets noise like any other. Rows that repeat get equal keys and are selected
@@ -28,6 +30,8 @@ from propgraph.plans.staging import staged
 
 BUCKETS = 1 << 14
 SMOOTH = 1.0
+#: Labelled documents that the target model is fitted on, at most.
+TARGET_DOCS = 20_000
 #: Nats of noise are compared with so many times the mean log ratio of an n-gram.
 SCALE = 40.0
 
@@ -84,7 +88,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float, seed: int = 11) -
     ``labels`` has (id, good); a document is target text if any of its labels is good.
     """
     spark = docs.sparkSession
-    good = labels.filter("good").select("id").distinct().withColumn("good", F.lit(True))
+    good = labels.filter("good and id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TARGET_DOCS)
+    good = F.broadcast(good.withColumn("good", F.lit(True)))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     ratios = spark.sparkContext.broadcast(log_ratios(texts.join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))))
     scored = staged(texts.mapInPandas(_scored(ratios, seed), "id long, n_grams long, log_ratio double, key double"), "quality")
