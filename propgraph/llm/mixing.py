@@ -6,12 +6,12 @@ second costs one, the third two and so on, so repetition is spread evenly. The f
 node for each pattern and source, never for a document, and is solved on the driver. A pattern's
 flow is turned into whole copies of all its documents and, for the remainder, one more copy of
 documents in the order of a seeded hash. The order is cut with a histogram of hash buckets, so only
-documents of the bucket where the quota ends are sorted; at last the one document that closes
-the rest of the gap best is added.
+documents of the bucket where the quota ends are sorted; at last the document that closes the rest
+of the gap best is added or given back, a few times over.
 
 Defined cases. Null text has no words; documents without words get the whole copies and no more.
-A null source is a source of its own, the last. Rows that repeat are documents of their own; of
-rows with equal hash, id and size any may be taken, with the same result. An empty table gives
+A null source is a source of its own, the last. Rows that repeat are documents of their own, but
+are taken together. An empty table gives
 an empty result. Columns with clashing names do no harm, as rows are carried in a struct.
 """
 
@@ -29,6 +29,8 @@ from propgraph.plans.staging import staged
 
 #: Buckets of the seeded hash in which the boundary of a quota is sought.
 BUCKETS = 4096
+#: Documents of a pattern that are added or given back to close the gap, at most.
+CLOSING = 4
 
 
 def word_count(text: Column) -> Column:
@@ -153,29 +155,34 @@ def mix(docs: DataFrame, sources: Column, weigh, max_repeat: int = 3, total_shar
 def _choose(known: DataFrame, narrow: DataFrame, plans: DataFrame) -> DataFrame:
     """``known`` with the number of copies that the plan of its pattern gives it."""
     bucket = F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int")
-    hist = narrow.filter("size > 0").groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    # rows of equal hash and id are taken together
+    peers = staged(narrow.filter("size > 0").groupBy("pattern", "h", "id").agg(F.sum("size").alias("size")), "mix-peers")
+    hist = peers.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     below = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hist = hist.withColumn("below", below).join(plans.filter("rest > 0"), "pattern")
     cut = staged(hist.filter("below <= rest and below + words > rest").select("pattern", F.col("bucket").alias("cut"), "below", "rest"), "mix-cut")
-    edge = narrow.filter("size > 0").withColumn("bucket", bucket).join(cut, "pattern").filter("bucket = cut")
+    edge = peers.withColumn("bucket", bucket).join(cut, "pattern").filter("bucket = cut")
     order = Window.partitionBy("pattern").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("upto", F.col("below") + F.sum("size").over(order))
     # the last (hash, id) that still fits, and the words up to it
     last = edge.filter("upto <= rest").groupBy("pattern").agg(F.max(F.struct("h", "id")).alias("last"), F.max("upto").alias("upto"))
-    cut = cut.join(last, "pattern", "left").select(
-        "pattern", "cut", F.col("last.h").alias("last_h"), F.col("last.id").alias("last_id"), (F.col("rest") - F.coalesce("upto", "below")).alias("gap")
+    none = F.expr("cast(array() AS array<struct<h:bigint,id:bigint>>)")
+    state = cut.join(last, "pattern", "left").select(
+        "pattern", "cut", F.col("last.h").alias("last_h"), F.col("last.id").alias("last_id"), (F.col("rest") - F.coalesce("upto", "below")).alias("gap"), none.alias("turned")
     )
-    cut = staged(cut, "mix-cut")
+    state = staged(state, "mix-cut")
     inside = _inside(bucket)
-    far = F.abs(F.col("size") - F.col("gap"))
-    closing = narrow.filter("size > 0").join(cut, "pattern").filter(~inside & (far < F.col("gap")))
-    closing = closing.groupBy("pattern").agg(F.min(F.struct(far.alias("far"), F.col("h"), F.col("id"))).alias("c"))
-    rules = plans.join(cut, "pattern", "left").join(closing, "pattern", "left")
-    rules = staged(rules.select("pattern", "full", "cut", "last_h", "last_id", F.col("c.h").alias("close_h"), F.col("c.id").alias("close_id"), "n"), "mix-rules")
-    chosen = known.join(rules.drop("n"), "pattern", "left")
-    is_closing = F.coalesce((F.col("h") == F.col("close_h")) & F.col("id").eqNullSafe(F.col("close_id")), F.lit(False))
-    extra = ((F.col("size") > 0) & (inside | is_closing)).cast("long")
-    return chosen.withColumn("copies", F.col("full") + extra).drop("full", "cut", "last_h", "last_id", "close_h", "close_id")
+    chosen = inside != F.array_contains("turned", F.struct("h", "id"))
+    for _ in range(CLOSING):
+        change = F.when(chosen, -F.col("size")).otherwise(F.col("size"))
+        off = F.abs(F.col("gap") - F.col("change"))
+        closer = peers.join(state, "pattern").withColumn("change", change).filter(off < F.abs("gap"))
+        best = closer.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "h", "id", "change")).alias("best"))
+        more = F.when(F.col("best").isNull(), F.col("turned")).otherwise(F.array_append("turned", F.struct(F.col("best.h").alias("h"), F.col("best.id").alias("id"))))
+        state = staged(state.join(best, "pattern", "left").select("pattern", "cut", "last_h", "last_id", (F.col("gap") - F.coalesce("best.change", F.lit(0))).alias("gap"), more.alias("turned")), "mix-cut")
+    rules = staged(plans.join(state, "pattern", "left").select("pattern", "full", "cut", "last_h", "last_id", F.coalesce("turned", none).alias("turned")), "mix-rules")
+    extra = ((F.col("size") > 0) & chosen).cast("long")
+    return known.join(rules, "pattern", "left").withColumn("copies", F.col("full") + extra).drop("full", "cut", "last_h", "last_id", "turned")
 
 
 def _inside(bucket: Column) -> Column:

@@ -1,0 +1,217 @@
+"""Brute-force versions of the exact dedup, personal data, fingerprint and mixing queries."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from propgraph.llm import exact_dedup, fingerprint, mixing, pii
+from propgraph.plans.staging import new_path
+
+SPACE = "[\x20\x09-\x0d]+"
+
+
+def docs_of(spark, folder):
+    return [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()]
+
+
+# exact dedup
+
+
+def report(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("id", F.lit(0)).withColumn("kept", F.lit(1))
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "test-index"))
+    return df, index, sorted(tuple(r) for r in index.report(df).select("id", "keep_id", "group_size", "kept").collect())
+
+
+def test_exact_dedup_cases(spark):
+    rows = [(5, "a b"), (2, "ab"), (9, "a  b\n"), (7, "a\tb "), (1, None), (3, " \t"), (4, ""), (8, "c"), (8, "c"), (6, "x" * 200_000), (10, "x" * 200_000 + " ")]
+    df, index, got = report(spark, rows)
+    assert got == [(1, 3, 3, False), (2, 9, 4, False), (3, 3, 3, True), (4, 3, 3, False), (5, 9, 4, False), (6, 10, 2, False), (7, 9, 4, False), (8, 8, 2, True), (8, 8, 2, True), (9, 9, 4, True), (10, 10, 2, True)]
+    assert index.rows().count() == 4
+    again = sorted(tuple(r) for r in index.report(df).select("id", "keep_id", "kept").collect())
+    assert again == [(a, b, d) for a, b, _, d in got] and index.rows().count() == 4  # the same batch again
+    more = spark.createDataFrame([(11, "a b c"), (12, "AB"), (13, " a b ")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in index.unique(more).collect()) == [11, 12]
+    unique = exact_dedup.DigestIndex(spark, new_path(spark, "test-index")).unique(df)
+    assert unique.columns == df.columns and sorted(r.doc_id for r in unique.collect()) == [3, 8, 9, 10]
+    assert exact_dedup.DigestIndex(spark, new_path(spark, "test-index")).report(df.filter("doc_id = 99")).count() == 0
+
+
+def test_exact_dedup_of_hot_groups(spark):
+    rows = [(k, "same" if k % 3 == 0 else f"own {k % 1500}") for k in range(3000)]
+    _, _, got = report(spark, rows)
+    sizes = Counter(re.sub(SPACE, "", t) for _, t in rows)
+    assert [(a, c) for a, _, c, _ in got] == [(k, sizes[re.sub(SPACE, "", t)]) for k, t in rows]
+    assert sum(d for *_, d in got) == len(sizes)
+
+
+# personal data
+
+
+def luhn(digits):
+    return sum(int(d) if k % 2 == 0 else (2 * int(d) - 1) % 9 + 1 if d != "0" else 0 for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 16 <= len(d) <= 19 and luhn(d) or kind == "phone" and 8 <= len(d) <= 15
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+ODD = [
+    None, "", "a@b c@d.e x_a@b.co_m@n.org. z@q..r p@-.-", "a.b%c+d@e-f.gh.ij.", "1.2.3.4.5.6.7.8 256.1.1.1 0255.00.1.09 1..2.3.4 99.99.99.99", "😀 4929 3483-8514 6306 é +1 (017) 555-7713",
+    "4929348385146306 4929348385146306", "+12 345 678 +1 2 3 + 4 5 6 7 8 9 0 +(555)", "x" * 3000 + "@" + "y.z" * 2000, "7" * 5000, "a@" * 3000, "+1" + " 2" * 4000, "1.1.1." * 900, "0000 0000 0000 0000", "a@b.c" * 900,
+    "iban DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 DE89370400440532013001", "amex card 378282246310005 and 378282246310006; 378282246310005", "call tel. 555-123-4567 or 555-123-4567",
+]
+
+
+def pii_rows(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pii", F.lit("clash")).withColumn("start", F.lit(1))
+    return {r.doc_id: r.pii for r in pii.find_personal_data(df).collect()}
+
+
+def test_personal_data_base_spans(spark, medium):
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("a1@.+- ()%_9") for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts = ODD + noise + [t for _, t, _ in docs_of(spark, medium)]
+    got = pii_rows(spark, texts)
+    for i, text in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in got[i] if s.kind in pii.BASE] == base_spans(text), text
+        assert all(s.match == text[s.start : s.end] for s in got[i])
+
+
+def test_personal_data_added_spans(spark):
+    got = pii_rows(spark, ODD)
+    assert [s.match for s in got[15] if s.kind == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    assert [(s.match, s.start) for s in got[16]] == [("378282246310005", 10)]
+    assert [s.start for s in got[17] if s.kind == "tel"] == [10, 26]
+    assert [s.kind for s in got[6]] == ["pan", "pan"]
+    masked = pii.mask_personal_data(spark.createDataFrame([(1, "mail é a@b.org or +1 (017) 555-7713!", 2), (2, None, 3)], "doc_id long, text string, x int"))
+    assert sorted(tuple(r) for r in masked.collect()) == [(1, "mail é [EMAIL] or [PHONE]!", 2), (2, None, 3)]
+
+
+def test_personal_data_query(spark, small):
+    docs = docs_of(spark, small)
+    got = {r.doc_id: r for r in pii.pii_query(spark, small).collect()}
+    for i, text, _ in docs:
+        spans = base_spans(text)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(s[0] == k for s in spans) for k in pii.BASE]
+
+
+# fingerprints
+
+
+def shingles(text):
+    words = [w for w in re.split(SPACE, text or "") if w]
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_fingerprint_query(spark, small):
+    docs = docs_of(spark, small)
+    got = {r.doc_id: r for r in fingerprint.fingerprint_query(spark, small).collect()}
+    assert len(got) == len(docs)
+    by_text = {}
+    for k, (i, text, _) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1] or ""
+        text = text or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        for near, other in ((r.near_edited, edited), (r.near_next, after)):
+            a, b = shingles(text), shingles(other)
+            true = len(a & b) / len(a | b) if a | b else 1.0
+            assert near == pytest.approx(true, abs=1e-9 if len(a | b) <= fingerprint.SKETCH else 0.15)
+        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
+    assert len(set(by_text.values())) == len({frozenset(shingles(t)) for t in by_text})
+
+
+def test_neighbours_of_repeated_null_and_unsorted_ids(spark):
+    data = [(3, "c"), (None, "n"), (1, "a"), (3, "c"), (2, None), (3, "b"), (10**12, "z"), (-5, "m")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for buckets in (1, 3, 16):
+        rows = fingerprint.with_next(df, "doc_id", "text", buckets, lambda d: d).collect()
+        order = sorted(((i is not None, i or 0, t or "") for i, t in data))
+        want = sorted((a[2], b[2]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+        assert sorted((r.text, r.following.text) for r in rows) == want
+    assert fingerprint.with_next(df.filter("doc_id = 77"), "doc_id", "text", 4, lambda d: d).count() == 0
+
+
+def test_sketches_merge(spark):
+    texts = [(1, " ".join(f"w{k}" for k in range(a, a + 900))) for a in (0, 300, 2000)] + [(2, ""), (3, None), (None, "a b"), (None, "c d e f g h")]
+    df = fingerprint.with_fingerprint(spark.createDataFrame(texts, "k long, text string"), F.col("text"), "print")
+    merged = {r.k: r.print for r in fingerprint.merge_parts(df.select("k", "print"), "k", "print").collect()}
+    parts = [r.print for r in df.filter("k = 1").collect()]
+    assert merged[1] == sorted(set().union(*parts))[: fingerprint.SKETCH] and merged[2] == merged[3] == [] and len(merged[None]) == 3
+    row = df.filter("k = 1").agg(F.min("print"), F.max("print")).head()
+    est = spark.createDataFrame([(parts[0], parts[1])], "a array<long>, b array<long>").select(fingerprint.resemblance(F.col("a"), F.col("b")), fingerprint.containment(F.col("a"), F.col("b")), fingerprint.distinct_shingles(F.col("a"))).head()
+    assert row and est[0] == pytest.approx(596 / 1196, abs=0.12) and est[1] == pytest.approx(596 / 896, abs=0.16) and est[2] == pytest.approx(896, rel=0.2)
+
+
+# mixing
+
+
+def test_mixing_query(spark, medium):
+    docs = docs_of(spark, medium)
+    size = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t, _ in docs}
+    sources = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, x in docs if x == s) for s in sources}
+    weights = {s: 1 + k % 3 for k, s in enumerate(sources)}
+    want, free, left = {}, set(sources), float(sum(total.values()))
+    while free:
+        share = {s: left * weights[s] / sum(weights[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * total[s]]
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 3.0 * total[s]
+            left -= want[s]
+            free.discard(s)
+    rows = mixing.mixing_query(spark, medium).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(size.keys())
+    taken, of = defaultdict(int), {i: s for i, _, s in docs}
+    for r in rows:
+        s = of[r.doc_id]
+        assert (r.size, r.source_size) == (size[r.doc_id], total[s]) and r.target == pytest.approx(want[s])
+        assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.005 * want[s] for s in sources)
+    again = sorted((r.doc_id, r.taken) for r in mixing.mixing_query(spark, medium).collect())
+    assert again == sorted((r.doc_id, r.taken) for r in rows)
+
+
+def test_mixing_overlapping_sources_and_odd_rows(spark):
+    data = [(k, "w " * (k % 9 + 1), ["a"] if k % 3 == 0 else ["a", "b"] if k % 3 == 1 else ["c", None]) for k in range(300)] + [(None, None, ["a"]), (5, "x", ["b"]), (5, "x", ["b"])]
+    df = spark.createDataFrame(data, "doc_id long, text string, tags array<string>").withColumn("size", F.lit(1)).withColumn("row", F.lit(2))
+    done = mixing.mix(df, F.col("tags"), lambda names: [1] * len(names), seed=3)
+    assert set(done.sources) == {"a", "b", "c", None}
+    for about in done.sources.values():
+        assert about["flow"] == pytest.approx(about["target"], abs=1)
+    rows = done.documents.collect()
+    assert len(rows) == len(data) and max(r.copies for r in rows) <= 3
+    assert abs(sum(r.copies * r.size for r in rows) - sum(a["target"] for a in done.sources.values())) < 12
+    empty = mixing.mix(df.filter("doc_id = -1"), F.col("tags"), lambda names: [])
+    assert empty.documents.count() == 0
+
+
+def test_min_cost_flow_reroutes_shared_patterns():
+    # b can only use (a, b); a must give it back and repeat its own
+    patterns = {("a",): 10, ("a", "b"): 10}
+    flow = mixing.min_cost_flow(patterns, {"a": 15, "b": 10}, 3)
+    assert sum(v for (p, s), v in flow.items() if s == "a") == 15 and flow[(("a", "b"), "b")] == 10
+    sent = Counter()
+    for (p, _), v in flow.items():
+        sent[p] += v
+    assert sent == {("a",): 15, ("a", "b"): 10} or sent == {("a",): 10, ("a", "b"): 15}
+    assert sum(mixing.min_cost_flow({("a",): 10}, {"a": 99}, 3).values()) == 30
