@@ -109,7 +109,8 @@ def training_rows(docs: DataFrame, id_column: str, text_column: str, label_colum
     rows = docs.filter(~held_out(docs[id_column]) & docs[label_column].isNotNull() & docs[text_column].isNotNull())
     rows = rows.select(docs[label_column].cast("string").alias("label"), docs[text_column].alias("text"), F.shiftrightunsigned(F.xxhash64(docs[id_column]), 11).alias("h"))
     share = rows.groupBy("label").agg(F.least(F.lit(1.0), 1.5 * most / F.count(F.lit(1)) + 0.0).alias("share"))
-    near = rows.join(share, "label").filter(F.col("h") <= F.col("share") * float(1 << 53))  # so a window sees a bounded number of rows
+    # one row a label, while the models hold 2^16 numbers for each
+    near = rows.join(F.broadcast(share), "label").filter(F.col("h") <= F.col("share") * float(1 << 53))  # so a window sees a bounded number of rows
     first = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
     return near.withColumn("_rank", first).filter(F.col("_rank") <= most).select("label", "text")
 
