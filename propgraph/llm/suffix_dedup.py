@@ -1,19 +1,17 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by hashes of windows at shared minimisers.
 
 Of each document's suffixes only those are retained that start at minimisers: positions whose run of
-``SEED`` words has the least hash among ``WINDOW`` successive ones. A passage of
-``LEAST`` words that two documents share holds a common minimiser, so a common retained suffix.
-Suffixes whose first ``SEED`` words occur in one document only are dropped by a count; the others are
-sorted by their first ``SEED`` words and the words after, over range partitions that also cut
-frequent suffixes apart, and each is compared with its nearest neighbours of other documents. A
-match is extended right and left word by word; with at least ``LEAST`` words it is a repeated
-passage of both. Matches reach ``REACH`` words to either side of a seed; further along a passage
-the next minimiser takes over, and the union of a document's matches is the passage.
+``SEED`` words has the least hash among ``WINDOW`` successive ones. Each window of ``LEAST`` words
+holds one minimiser, and it depends on the window's words only, so a window that two documents share
+has its seed in both. Seeds that occur in one document only are dropped by a count; of the others
+every window is hashed to 64 bits, and windows with equal hashes in two documents are repeated. Each
+window meets all others, however often a document or the corpus repeats it, by a count and a join on
+its hash; nothing is compared by neighbourhood in a sorted order. A passage is the union of its windows.
 
 Defined cases. Null and blank texts and texts of fewer than ``LEAST`` words repeat nothing. Words are
 compared with A-Z in lower case and any white space between. Rows whose id is null are not
 compared; rows of one id count as one document, so they do not repeat each other. Very long texts
-are cut into suffixes like any other. An empty table gives an empty result. Other columns are not
+are cut into windows like any other. An empty table gives an empty result. Other columns are not
 read.
 """
 
@@ -23,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm.words import mix64, word_hashes
@@ -32,32 +30,31 @@ from propgraph.plans.staging import staged
 #: Words of a repeated passage, of a suffix's seed, and seeds among which a minimiser is the least.
 LEAST, SEED = 50, 32
 WINDOW = LEAST - SEED + 1
-#: Words compared to either side of a seed: past the next minimiser.
-REACH = WINDOW + 1
-#: Neighbours of other documents that a suffix is compared with, to either side.
-NEIGHBOURS = 3
-#: Rows at a partition's ends that are compared across partitions.
-EDGE = 4
 
 _ROLL = np.uint64(0xD1342543DE82EF95)
 _UNROLL = np.uint64(pow(int(_ROLL), -1, 1 << 64))
 
 
-def seeds(words: np.ndarray) -> np.ndarray:
-    """Hash of the ``SEED`` words at each position."""
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words at each position."""
     n = len(words)
     up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, _ROLL, dtype=np.uint64))))
     down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, _UNROLL, dtype=np.uint64))))
     prefix = np.concatenate(([np.uint64(0)], np.cumsum(words * up)))
-    return mix64((prefix[SEED:] - prefix[:-SEED]) * down[: n - SEED + 1])
+    return mix64((prefix[length:] - prefix[:-length]) * down[: n - length + 1])
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, seeds) of the retained suffixes."""
+def window_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of its minimiser for each window, hash of the seed at each position)."""
     if len(words) < LEAST:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    h = seeds(words)
-    at = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+    h = run_hashes(words, SEED)
+    return np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1), h
+
+
+def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, seeds) of the retained suffixes."""
+    at, h = window_seeds(words)
     at = np.unique(at)
     return at, h[at]
 
@@ -74,101 +71,45 @@ def _retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "at": np.concatenate(spots).astype(np.int32)})
 
 
-def _with_sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For (id, text, kept: its (at, key, first)), a row per suffix with the words after and before its seed."""
+def _packed(number: Column, flag: Column) -> Column:
+    return number.cast("long") * 2 + flag.cast("long")
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For (id, text, kept: its (at, first)), a row per window whose minimiser is kept; (number, flag) are packed."""
     for pdf in batches:
-        rows = []
+        parts, rows = [], 0
         for ident, text, kept in zip(pdf["id"], pdf["text"], pdf["kept"], strict=True):
-            words = (word_hashes(text)[0] & np.uint64(0xFFFFFFFF)).astype(">u4")
-            for k in kept:
-                at = k["at"]
-                after, before = words[at + SEED : at + SEED + REACH], words[max(0, at - REACH) : at][::-1]
-                rows.append((k["key"], after.tobytes(), before.tobytes(), ident, at, k["first"]))
-            if len(rows) >= 20000:
-                yield pd.DataFrame(rows, columns=["key", "after", "before", "id", "at", "first"])
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["key", "after", "before", "id", "at", "first"])
-
-
-def _words(column: pd.Series) -> np.ndarray:
-    """Rows of ``REACH`` words; what a text lacks differs from every word of another, by row."""
-    lengths = column.map(len).to_numpy() // 4
-    out = np.frombuffer(b"".join([b + b"\0" * (4 * REACH - len(b)) for b in column]), dtype=">u4").reshape(len(column), REACH).astype(np.int64)
-    out[np.arange(REACH)[None, :] >= lengths[:, None]] = -1
-    return out
-
-
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words are equal."""
-    same = (a == b) & (a >= 0)
-    return np.where(same.all(axis=1), REACH, (~same).argmax(axis=1))
-
-
-def matches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Repeated passages (id, start, end, first) among sorted suffixes."""
-    key, ident, at = pdf["key"].to_numpy(), pdf["id"].to_numpy(), pdf["at"].to_numpy()
-    after, before = _words(pdf["after"]), _words(pdf["before"])
-    n = len(pdf)
-    run = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (ident[1:] != ident[:-1]))))
-    last = np.searchsorted(run, run, side="right")  # first row of the next run
-    rows, starts, ends = [], [], []
-    i = np.arange(n)
-    j = last.copy()
-    for _ in range(NEIGHBOURS):
-        ok = j < n
-        ok[ok] &= (key[i[ok]] == key[j[ok]]) & (ident[i[ok]] != ident[j[ok]])
-        a, b = i[ok], j[ok]
-        right, left = _agree(after[a], after[b]), _agree(before[a], before[b])
-        long = right + left + SEED >= LEAST
-        for side in (a, b):
-            rows.append(side[long])
-            starts.append(at[side[long]] - left[long])
-            ends.append(at[side[long]] + SEED + right[long])
-        j = np.minimum(j + 1, n)
-    rows = np.concatenate(rows)
-    out = pd.DataFrame({"id": ident[rows], "start": np.concatenate(starts), "end": np.concatenate(ends), "first": pdf["first"].to_numpy()[rows]})
-    return out.drop_duplicates()
-
-
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Matches within a sorted partition; its first and last rows are passed on as they are."""
-    held, begun, tail = None, False, None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        if not begun:
-            yield pdf.head(EDGE).assign(start=-1, end=-1)
-            begun = True
-        tail = pdf.tail(EDGE) if len(pdf) >= EDGE or tail is None else pd.concat([tail, pdf]).tail(EDGE)
-        joined = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        held = joined.tail(64)  # so that neighbours across batches meet
-        found = matches(joined)
-        if len(found):
-            yield found.assign(key=0, after=b"", before=b"", at=0)[["key", "after", "before", "id", "at", "first", "start", "end"]]
-    if tail is not None:
-        yield tail.assign(start=-1, end=-1)
-
-
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = [b for b in batches if len(b)]
-    if parts:
-        rows = pd.concat(parts).sort_values(["key", "after", "before", "id", "at"]).drop_duplicates(["id", "at"])
-        yield matches(rows.reset_index(drop=True))[["id", "start", "end", "first"]]
+            words = word_hashes(text)[0]
+            at, _ = window_seeds(words)
+            if not len(at):
+                continue
+            kept = np.sort(kept)
+            spots, first = kept >> 1, kept & 1 == 1
+            near = np.minimum(np.searchsorted(spots, at), len(spots) - 1)
+            start = np.flatnonzero(spots[near] == at)
+            parts.append(pd.DataFrame({"window": run_hashes(words, LEAST)[start].view(np.int64), "id": ident, "start": start.astype(np.int32), "first": first[near[start]]}))
+            rows += len(start)
+            if rows >= 200000:
+                yield pd.concat(parts)
+                parts, rows = [], 0
+        if parts:
+            yield pd.concat(parts)
+
+
+def _joined(start: np.ndarray) -> list[list[int]]:
+    """The union of the windows that start at these positions, as [start, end)."""
+    start = np.unique(start)
+    breaks = np.flatnonzero(np.diff(start) > LEAST)
+    return [[int(a), int(b) + LEAST] for a, b in zip(start[np.concatenate(([0], breaks + 1))], start[np.concatenate((breaks, [-1]))], strict=True)] if len(start) else []
 
 
 def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         merged = []
         for spans in pdf["spans"]:
-            whole, cut = [], []
-            for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-                for out, wanted in ((whole, True), (cut, not s["first"])):
-                    if wanted and out and s["start"] <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], s["end"])
-                    elif wanted:
-                        out.append([s["start"], s["end"]])
-            merged.append((whole, cut))
+            start, first = spans >> 1, spans & 1 == 1
+            merged.append((_joined(start), _joined(start[~first])))
         yield pd.DataFrame({"id": pdf["id"], "spans": [m[0] for m in merged], "cut": [m[1] for m in merged]})
 
 
@@ -182,16 +123,11 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     suffixes = staged(texts.mapInPandas(_retained, "key long, id long, at int"), "suffixes")
     shared = suffixes.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id <> last_id")
     shared = staged(shared.select("key", "first_id"), "seeds")
-    kept = suffixes.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("at", "key", (F.col("id") == F.col("first_id")).alias("first"))).alias("kept"))
-    sides = texts.join(kept, "id").mapInPandas(_with_sides, "key long, after binary, before binary, id long, at int, first boolean")
-    order = ["key", "after", "before", "id", "at"]
-    sides = staged(sides, "sides")
-    ranged = sides.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = staged(ranged.mapInPandas(_compared, "key long, after binary, before binary, id long, at int, first boolean, start int, end int"), "matches")
-    across = found.filter("start < 0").drop("start", "end").coalesce(1).mapInPandas(_edges, "id long, start int, end int, first boolean")
-    spans = found.filter("start >= 0").select("id", "start", "end", "first").unionByName(across)
-    grouped = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end", "first")).alias("spans"))
-    return grouped.mapInPandas(_union, "id long, spans array<array<int>>, cut array<array<int>>")
+    kept = suffixes.join(shared, "key").groupBy("id").agg(F.collect_list(_packed(F.col("at"), F.col("id") == F.col("first_id"))).alias("kept"))
+    windows = staged(texts.join(kept, "id").mapInPandas(_windows, "window long, id long, start int, first boolean"), "windows")
+    repeated = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("window")
+    found = windows.join(repeated, "window").groupBy("id").agg(F.collect_list(_packed(F.col("start"), F.col("first"))).alias("spans"))
+    return found.mapInPandas(_union, "id long, spans array<array<int>>, cut array<array<int>>")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

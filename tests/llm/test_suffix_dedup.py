@@ -57,3 +57,20 @@ def test_planted_passages_and_cut(spark):
 
 def test_empty(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def spread(found):
+    return {r.id: (covered([tuple(s) for s in r.spans]), covered([tuple(s) for s in r.cut])) for r in found.collect()}
+
+
+def test_every_occurrence_is_found(spark):
+    shared, core = passage("s", 60), passage("m", 40)
+    repeats = " ".join(f"{shared} {passage(f'x{k}x', 25)}" for k in range(9))
+    # a frequent core; the documents of a pair share the 9 words before it and after it, too
+    pairs = [(100 + k, f"{passage(f'a{k}x', 30)} {passage(f'l{k % 60}x', 9)} {core} {passage(f'r{k % 60}x', 9)} {passage(f'b{k}x', 30)}") for k in range(120)]
+    docs = [(1, f"{passage('o', 20)} {shared}"), (2, repeats), *pairs]
+    got = spread(repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
+    want = {i: w for i, w in brute(docs).items() if w}
+    assert {i: g[0] for i, g in got.items()} == want
+    assert len(want) == 122 and len(want[2]) == 9 * 60
+    assert got[2][1] == want[2]
