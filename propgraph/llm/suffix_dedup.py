@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm.words import mix64, word_hashes
@@ -71,12 +71,8 @@ def _retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "at": np.concatenate(spots).astype(np.int32)})
 
 
-def _packed(number: Column, flag: Column) -> Column:
-    return number.cast("long") * 2 + flag.cast("long")
-
-
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For (id, text, kept: its (at, first)), a row per window whose minimiser is kept; (number, flag) are packed."""
+    """For (id, text, kept: positions), a row per window whose minimiser is kept."""
     for pdf in batches:
         parts, rows = [], 0
         for ident, text, kept in zip(pdf["id"], pdf["text"], pdf["kept"], strict=True):
@@ -84,11 +80,8 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at, _ = window_seeds(words)
             if not len(at):
                 continue
-            kept = np.sort(kept)
-            spots, first = kept >> 1, kept & 1 == 1
-            near = np.minimum(np.searchsorted(spots, at), len(spots) - 1)
-            start = np.flatnonzero(spots[near] == at)
-            parts.append(pd.DataFrame({"window": run_hashes(words, LEAST)[start].view(np.int64), "id": ident, "start": start.astype(np.int32), "first": first[near[start]]}))
+            start = np.flatnonzero(np.isin(at, kept))
+            parts.append(pd.DataFrame({"window": run_hashes(words, LEAST)[start].view(np.int64), "id": ident, "start": start.astype(np.int32)}))
             rows += len(start)
             if rows >= 200000:
                 yield pd.concat(parts)
@@ -108,7 +101,7 @@ def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         merged = []
         for spans in pdf["spans"]:
-            start, first = spans >> 1, spans & 1 == 1
+            start, first = spans >> 1, spans & 1 == 1  # packed: 2 * start + first
             merged.append((_joined(start), _joined(start[~first])))
         yield pd.DataFrame({"id": pdf["id"], "spans": [m[0] for m in merged], "cut": [m[1] for m in merged]})
 
@@ -116,17 +109,18 @@ def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, spans, cut) of documents that share passages of ``LEAST`` words or more with others.
 
-    ``spans`` are [start, end) in words; ``cut`` leaves out matches at whose seed no smaller id
-    stands, so removing it keeps one copy of each passage.
+    ``spans`` are [start, end) in words; ``cut`` leaves out windows of ``LEAST`` words that no
+    smaller id holds, so of words that are cut a copy stays in a document of smaller id.
     """
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text")).filter("id is not null and text is not null")
     suffixes = staged(texts.mapInPandas(_retained, "key long, id long, at int"), "suffixes")
-    shared = suffixes.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id <> last_id")
-    shared = staged(shared.select("key", "first_id"), "seeds")
-    kept = suffixes.join(shared, "key").groupBy("id").agg(F.collect_list(_packed(F.col("at"), F.col("id") == F.col("first_id"))).alias("kept"))
-    windows = staged(texts.join(kept, "id").mapInPandas(_windows, "window long, id long, start int, first boolean"), "windows")
-    repeated = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("window")
-    found = windows.join(repeated, "window").groupBy("id").agg(F.collect_list(_packed(F.col("start"), F.col("first"))).alias("spans"))
+    shared = staged(suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key"), "seeds")
+    kept = suffixes.join(shared, "key").groupBy("id").agg(F.collect_list("at").alias("kept"))
+    windows = staged(texts.join(kept, "id").mapInPandas(_windows, "window long, id long, start int"), "windows")
+    repeated = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("window", "low")
+    repeated = staged(repeated, "repeated")  # between plain reads, Spark can cut a frequent window's rows apart
+    packed = F.col("start").cast("long") * 2 + (F.col("id") == F.col("low")).cast("long")
+    found = windows.join(repeated, "window").groupBy("id").agg(F.collect_list(packed).alias("spans"))
     return found.mapInPandas(_union, "id long, spans array<array<int>>, cut array<array<int>>")
 
 

@@ -74,3 +74,16 @@ def test_every_occurrence_is_found(spark):
     assert {i: g[0] for i, g in got.items()} == want
     assert len(want) == 122 and len(want[2]) == 9 * 60
     assert got[2][1] == want[2]
+
+
+def test_first_holder_of_the_passage_keeps_it(spark):
+    core, around = passage("m", 40), (passage("p", 30), passage("q", 30))
+    docs = [(1, f"{passage('a', 60)} {core} {passage('b', 60)}")]  # holds the seeds of the passage, not the passage
+    docs += [(k, f"{passage(f'c{k}x', 20)} {around[0]} {core} {around[1]} {passage(f'd{k}x', 20)}") for k in (2, 3, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = repeated_passages(df)
+    got = spread(found)
+    whole = set(range(20, 120))
+    assert got == {2: (whole, set()), 3: (whole, whole), 4: (whole, whole)}
+    left = {r.doc_id: r.text for r in without_passages(df, found).collect()}
+    assert left[1] == docs[0][1] and left[2] == docs[1][1] and "m5" not in left[3].split()
