@@ -215,11 +215,11 @@ def modularity(s, d):
 
 @query("louvain")
 def louvain(s, d):
-    return structure.louvain_level(sparse_edges(edges(s, d)), nodes(s, d))
+    return structure.louvain_level(simple(s, d), nodes(s, d))
 
 
 @query("graph_isomorphism", "SELECT TRUE AS same")
 def isomorphism(s, d):
-    e, n = sparse_edges(edges(s, d)), nodes(s, d).select("id")
+    e, n = simple(s, d), nodes(s, d).select("id")
     turn = lambda c: (F.lit(1_000_003) - F.col(c)).alias(c)
     return structure.may_be_isomorphic((e, n), (e.select(turn("src"), turn("tgt")), n.select(turn("id"))))
