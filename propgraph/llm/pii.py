@@ -27,7 +27,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))",  # the rest is looked at, not consumed
     "pan": r"(?<![0-9])(?:[0-9]{4}\x20[0-9]{4}\x20[0-9]{4}\x20[0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{13,19})(?![0-9])",
     "tel": r"(?<![0-9+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
@@ -88,6 +88,30 @@ def _candidates(text: Column, kind: str) -> Column:
     return F.when(text.rlike(GUARDS[kind]), spans).otherwise(F.expr("cast(array() AS array<struct<match:string,start:int,end:int>>)"))
 
 
+def _accounts(text: Column) -> Column:
+    """Proposed bank accounts with their offsets, in order; the text after one may be part of its match, and the next may start in it."""
+    rest = F.regexp_extract_all(text, F.lit(PATTERNS["iban"]), 1)
+    def whole(s: Column, r: Column) -> Column:
+        return F.struct(F.concat(s["match"], r).alias("match"), s["start"].alias("start"), (s["end"] + F.length(r)).alias("end"))
+    return F.zip_with(_candidates(text, "iban"), F.when(text.rlike(GUARDS["iban"]), rest).otherwise(F.expr("cast(array() AS array<string>)")), whole)
+
+
+def _longest_accounts(spans: Column) -> Column:
+    """Each proposed span cut to its longest prefix of whole groups that passes the checks; the first of overlapping ones stays."""
+    def cut(s: Column) -> Column:
+        groups = F.split(s["match"], r"\x20")
+        prefixes = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        return F.struct(F.get(F.filter(prefixes, lambda p: _valid("iban", p)), F.lit(0)).alias("match"), s["start"].alias("start"))
+    passed = F.filter(F.transform(spans, cut), lambda s: s["match"].isNotNull())
+    empty = F.expr("struct(0 AS at, cast(array() AS array<struct<match:string,start:int,end:int>>) AS out)")
+    def step(acc: Column, s: Column) -> Column:
+        end = s["start"] + F.length(s["match"])
+        more = F.concat(acc["out"], F.array(F.struct(s["match"].alias("match"), s["start"].alias("start"), end.alias("end"))))
+        free = s["start"] >= acc["at"]
+        return F.struct(F.when(free, end).otherwise(acc["at"]).alias("at"), F.when(free, more).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(passed, empty, step, lambda acc: acc["out"])
+
+
 def _valid(kind: str, match: Column) -> Column:
     digits = _digits(match)
     if kind == "ip":
@@ -132,7 +156,8 @@ def find_personal_data(docs: DataFrame, text_column: str = "text") -> DataFrame:
     out = docs.withColumn(f"{own}text", F.coalesce(docs[text_column], F.lit("")))
     text, base = F.col(f"{own}text"), F.col(f"{own}base")
     for kind in KINDS:  # one projection a kind, so that each pattern runs once
-        out = out.withColumn(f"{own}{kind}", _candidates(text, kind))
+        out = out.withColumn(f"{own}{kind}", _accounts(text) if kind == "iban" else _candidates(text, kind))
+    out = out.withColumn(f"{own}iban", _longest_accounts(F.col(f"{own}iban")))
     for kind in KINDS:
         out = out.withColumn(f"{own}{kind}", _confirmed(kind, text, F.col(f"{own}{kind}")))
     out = out.withColumn(f"{own}base", F.concat(*[F.col(f"{own}{k}") for k in BASE]))

@@ -99,6 +99,20 @@ def test_personal_data_added_spans(spark):
     assert sorted(tuple(r) for r in masked.collect()) == [(1, "mail é [EMAIL] or [PHONE]!", 2), (2, None, 3)]
 
 
+def test_account_numbers_before_other_text(spark):
+    texts = [
+        "é IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00 2024", "BE68539007547034 NO9386011117947", "iban DE89370400440532013000",
+        "AB12 3456 7890 1234 DE89370400440532013000 X", "DE89370400440532013001 BIC", "GB82 WEST 1234 5698 7654 32 AND MORE",
+    ]
+    got = pii_rows(spark, texts)
+    found = [[(s.match, s.start, s.end) for s in got[i] if s.kind == "iban"] for i in range(len(texts))]
+    de = "DE89370400440532013000"
+    assert found == [
+        [(de, 7, 29)], [("DE89 3704 0044 0532 0130 00", 0, 27)], [("BE68539007547034", 0, 16), ("NO9386011117947", 17, 32)], [(de, 5, 27)],
+        [(de, 20, 42)], [], [("GB82 WEST 1234 5698 7654 32", 0, 27)],
+    ]
+
+
 def test_personal_data_query(spark, small):
     docs = docs_of(spark, small)
     got = {r.doc_id: r for r in pii.pii_query(spark, small).collect()}
