@@ -14,6 +14,9 @@ from propgraph.operators.components import connected_components
 from propgraph.plans.rounds import Rounds
 from propgraph.plans.staging import staged
 
+#: Nodes up to which isomorphism is decided exactly, on the driver.
+SMALL = 50
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "tgt").unionByName(edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")))
@@ -181,23 +184,75 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFr
     return state
 
 
-def refined_colours(edges: DataFrame, nodes: DataFrame, rounds: int = 3) -> DataFrame:
-    """(id, colour): Weisfeiler-Lehman refinement of directed graphs; graphs with unequal colour counts are not isomorphic."""
+def _recoloured(links: DataFrame, state: DataFrame) -> DataFrame:
+    """A round of refinement of (id, colour) along directed edges."""
+    def heard(near: str, far: str, name: str) -> DataFrame:
+        mixed = F.xxhash64("colour", F.lit(name)).cast("decimal(38,0)")  # an order-free sum that cannot overflow
+        return links.join(state.withColumnRenamed("id", far), far).groupBy(F.col(near).alias("id")).agg(F.sum(mixed).alias(name))
+
+    both = state.join(heard("src", "tgt", "out"), "id", "left").join(heard("tgt", "src", "into"), "id", "left")
+    return both.select("id", F.xxhash64("colour", F.coalesce(F.col("out").cast("string"), F.lit("")), F.coalesce(F.col("into").cast("string"), F.lit(""))).alias("colour"))
+
+
+def refined_colours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, colour): Weisfeiler-Lehman refinement of directed graphs until no colour splits; graphs with unequal colour counts are not isomorphic."""
     links = staged(edges.select("src", "tgt"), "edges")
     kept = Rounds("colours")
-    state = nodes.select("id", F.lit(1).cast("long").alias("colour"))
-    for _ in range(rounds):
-        def heard(near: str, far: str, name: str, state: DataFrame = state) -> DataFrame:
-            mixed = F.xxhash64("colour", F.lit(name)).cast("decimal(38,0)")  # an order-free sum that cannot overflow
-            return links.join(state.withColumnRenamed("id", far), far).groupBy(F.col(near).alias("id")).agg(F.sum(mixed).alias(name))
-
-        both = state.join(heard("src", "tgt", "out"), "id", "left").join(heard("tgt", "src", "into"), "id", "left")
-        state = kept.keep(both.select("id", F.xxhash64("colour", F.coalesce(F.col("out").cast("string"), F.lit("")), F.coalesce(F.col("into").cast("string"), F.lit(""))).alias("colour")))
-    return state
+    state, before = kept.keep(nodes.select("id", F.lit(1).cast("long").alias("colour"))), 1
+    while True:
+        state = kept.keep(_recoloured(links, state))
+        now = state.select("colour").distinct().count()
+        if now <= before:  # fewer only without nodes
+            return state
+        before = now
 
 
-def may_be_isomorphic(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame], rounds: int = 3) -> DataFrame:
-    """(same): whether two graphs (edges, nodes) have equal counts of refined colours; a necessary condition."""
-    counts = [refined_colours(e, n, rounds).groupBy("colour").agg(F.count(F.lit(1)).alias("n")) for e, n in (a, b)]
+def may_be_isomorphic(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(same): whether two directed graphs (edges, nodes) have equal counts of colours after Weisfeiler-Lehman
+    refinement until no colour splits: a necessary condition. For at most ``SMALL`` nodes the answer is exact."""
+    links = [staged(e.select("src", "tgt"), "edges") for e, _ in (a, b)]
+    kept = Rounds("colours")
+    states = [kept.keep(n.select("id", F.lit(1).cast("long").alias("colour"))) for _, n in (a, b)]
+    before = [1, 1]
+    while True:
+        states = [kept.keep(_recoloured(e, state)) for e, state in zip(links, states, strict=True)]
+        now = [state.select("colour").distinct().count() for state in states]
+        if now[0] != now[1] or now <= before:
+            break
+        before = now
+    counts = [state.groupBy("colour").agg(F.count(F.lit(1)).alias("n")) for state in states]
     odd = counts[0].select("colour", F.col("n").alias("x")).join(counts[1].select("colour", F.col("n").alias("y")), "colour", "full_outer").filter(~F.col("x").eqNullSafe(F.col("y")))
-    return odd.agg((F.count(F.lit(1)) == 0).alias("same"))
+    same = odd.agg((F.count(F.lit(1)) == 0).alias("same"))
+    if max(state.limit(SMALL + 1).count() for state in states) > SMALL or not same.head()[0]:
+        return same
+    return same.select(F.lit(_isomorphic(*[(
+        dict(state.collect()), {(r.src, r.tgt): r.n for r in e.groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n")).join(state.select(F.col("id").alias("src")), "src", "left_semi").join(state.select(F.col("id").alias("tgt")), "tgt", "left_semi").collect()},
+    ) for e, state in zip(links, states, strict=True)])).alias("same"))
+
+
+def _isomorphic(a: tuple[dict, dict], b: tuple[dict, dict]) -> bool:
+    """Whether a bijection of nodes keeps colours and edge counts, by search; both are (colour by id, count by edge)."""
+    (colours, edges), (others, images) = a, b
+    near = {i: {t if s == i else s for s, t in edges if i in (s, t)} for i in colours}
+    order: list = []
+    while len(order) < len(colours):  # next to placed nodes first, so that edges rule images out early
+        order.append(max((i for i in colours if i not in order), key=lambda i: len(near[i].intersection(order))))
+    placed: dict = {}
+
+    def fits(i: int, j: int) -> bool:
+        return edges.get((i, i), 0) == images.get((j, j), 0) and all(
+            edges.get((i, k), 0) == images.get((j, m), 0) and edges.get((k, i), 0) == images.get((m, j), 0) for k, m in placed.items())
+
+    def search(depth: int) -> bool:
+        if depth == len(order):
+            return True
+        i = order[depth]
+        for j, colour in others.items():
+            if colour == colours[i] and j not in placed.values() and fits(i, j):
+                placed[i] = j
+                if search(depth + 1):
+                    return True
+                del placed[i]
+        return False
+
+    return len(colours) == len(others) and search(0)

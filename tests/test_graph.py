@@ -271,3 +271,20 @@ def test_communities_and_isomorphism_take_every_order(spark, small, monkeypatch)
     monkeypatch.setattr(structure, "may_be_isomorphic", lambda a, b: seen.extend((a[0], b[0])))
     catalog.queries()["graph_isomorphism"](spark, small)
     assert set(values(seen[0], "src", "tgt")) == whole and seen[1].count() == len(whole)
+
+
+def test_isomorphism_beyond_three_hops_and_of_small_regular_graphs(spark):
+    def graph(*walks):
+        pairs = [(a, b) for w in walks for x, y in zip(w, w[1:]) for a, b in ((x, y), (y, x))]
+        return edges(spark, pairs), spark.createDataFrame([(i,) for i in sorted({i for p in pairs for i in p})], "id long")
+
+    def same(a, b):
+        return structure.may_be_isomorphic(a, b).head()[0]
+
+    path = lambda start, n: list(range(start, start + n))
+    ring = lambda start, n: [*range(start, start + n), start]
+    assert not same(graph(path(0, 10), path(100, 20)), graph(path(0, 14), path(100, 16)))  # refinement of three rounds sees no difference
+    assert not same(graph(ring(0, 3), ring(10, 3)), graph(ring(0, 6)))  # no refinement does
+    assert same(graph(ring(0, 3), ring(10, 4)), graph(ring(50, 4), ring(70, 3)))
+    assert structure.refined_colours(*graph(path(0, 20))).select("colour").distinct().count() == 10
+    assert not same(graph(path(0, 20), path(100, 40)), graph(path(0, 22), path(100, 38)))  # more nodes than are searched
