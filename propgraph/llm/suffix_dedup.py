@@ -1,18 +1,26 @@
-"""Repeated passages by hashes of windows at shared minimisers.
+"""Repeated passages by sparse suffix arrays.
 
 Of each document's suffixes only those are retained that start at minimisers: positions whose run of
 ``SEED`` words has the least hash among ``WINDOW`` successive ones. Each window of ``LEAST`` words
 holds one minimiser, and it depends on the window's words only, so a window that two documents share
-has its seed in both. Seeds that occur in one document only are dropped by a count; of the others
-every window is hashed to 64 bits, and windows with equal hashes in two documents are repeated. Each
-window meets all others, however often a document or the corpus repeats it, by a count and a join on
-its hash; nothing is compared by neighbourhood in a sorted order. A passage is the union of its windows.
+is retained at the same place in both. Suffixes whose seed one document only holds are dropped by a
+count. The others are sorted by their seed and the words after it, neighbours are compared for their
+longest common prefix, and matches are extended left, word by word, in the classes of suffixes that
+the prefixes make. So every retained suffix learns, for each way to lay a window of ``LEAST`` words
+over its seed, whether another document holds that window and whether one of smaller id does; there is
+no limit to the neighbours that a suffix is compared with. A passage is the union of its windows.
+
+All suffixes of one seed meet in one task, which is fit for seeds that occur up to ``FREQUENT`` times.
+The windows around more frequent seeds are hashed whole instead and counted by that hash, with partial
+sums, so that a seed which a third of the corpus holds is never gathered; the result is the same.
 
 Defined cases. Null and blank texts and texts of fewer than ``LEAST`` words repeat nothing. Words are
 compared with A-Z in lower case and any white space between. Rows whose id is null are not
-compared; rows of one id count as one document, so they do not repeat each other. Very long texts
-are cut into windows like any other. An empty table gives an empty result. Other columns are not
-read.
+compared; rows of one id count as one document, so they do not repeat each other, and if their texts
+differ each text has its own passages. Very long texts are cut into windows like any other. An empty
+table gives an empty result. Other columns are not read.
+
+Words beyond a seed are compared by 32 bits of their hashes, seeds by 64.
 """
 
 from __future__ import annotations
@@ -21,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm.words import mix64, word_hashes
@@ -30,6 +39,12 @@ from propgraph.plans.staging import staged
 #: Words of a repeated passage, of a suffix's seed, and seeds among which a minimiser is the least.
 LEAST, SEED = 50, 32
 WINDOW = LEAST - SEED + 1
+#: Words on one side of a seed that a window can reach.
+SIDE = LEAST - SEED
+#: Occurrences of a seed above which its windows are counted by their hash.
+FREQUENT = 1024
+#: Suffixes that are compared at once.
+CHUNK = 100_000
 
 _ROLL = np.uint64(0xD1342543DE82EF95)
 _UNROLL = np.uint64(pow(int(_ROLL), -1, 1 << 64))
@@ -44,90 +59,219 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return mix64((prefix[length:] - prefix[:-length]) * down[: n - length + 1])
 
 
-def window_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position of its minimiser for each window, hash of the seed at each position)."""
+def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, seeds, first and last start of the windows that each covers) of the retained suffixes."""
     if len(words) < LEAST:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        none = np.empty(0, dtype=np.int64)
+        return none, np.empty(0, dtype=np.uint64), none, none
     h = run_hashes(words, SEED)
-    return np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1), h
-
-
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, seeds) of the retained suffixes."""
-    at, h = window_seeds(words)
-    at = np.unique(at)
-    return at, h[at]
+    at = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # positions never go back, so windows of one are in a row
+    return at[first], h[at[first]], first, np.concatenate((first[1:], [len(at)])) - 1
 
 
 def _retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ids, keys, spots = [], [], []
-        for ident, text in zip(pdf["id"], pdf["text"], strict=True):
-            at, h = minimisers(word_hashes(text)[0])
+        ids, parts, keys, spots = [], [], [], []
+        for ident, part, text in zip(pdf["id"], pdf["part"], pdf["text"], strict=True):
+            at, h, _, _ = minimisers(word_hashes(text)[0])
             ids.append(np.full(len(at), ident, dtype=np.int64))
+            parts.append(np.full(len(at), part, dtype=np.int64))
             keys.append(h.view(np.int64))
             spots.append(at)
         if ids:
-            yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "at": np.concatenate(spots).astype(np.int32)})
+            yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "part": np.concatenate(parts), "at": np.concatenate(spots).astype(np.int32)})
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For (id, text, kept: positions), a row per window whose minimiser is kept."""
-    for pdf in batches:
-        parts, rows = [], 0
-        for ident, text, kept in zip(pdf["id"], pdf["text"], pdf["kept"], strict=True):
+def _binary(matrix: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The first ``lengths`` words of each row as big-endian bytes, whose order is that of the words."""
+    data = matrix.astype(">u4")[np.arange(SIDE) < lengths[:, None]].tobytes()
+    offsets = np.concatenate(([0], np.cumsum(4 * lengths))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The words of :func:`_binary`, 0 where there is none."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]].view(">u4")
+    out = np.zeros((len(column), SIDE), dtype=np.uint32)
+    out[np.arange(SIDE) < (np.diff(offsets) // 4)[:, None]] = data
+    return out
+
+
+_CONTEXT = "key long, id long, part long, at int, low int, high int, after binary, before binary"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (id, part, text, kept positions): the retained suffixes with the words around their seeds.
+
+    A window starts ``low`` to ``high`` words before the seed; ``after`` and ``before`` (nearest
+    word first) hold the words that those windows reach.
+    """
+    reach = np.arange(SIDE)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        key, ident, part, at, low, high, after, before = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(ident), pa.array(part), pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), _binary(after, SIDE - low), _binary(before, high)],
+            names=["key", "id", "part", "at", "low", "high", "after", "before"],
+        )
+
+    for batch in batches:
+        rows, size = [], 0
+        for ident, part, text, kept in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "text", "kept")), strict=True):
             words = word_hashes(text)[0]
-            at, _ = window_seeds(words)
+            at, h, first, last = minimisers(words)
+            mine = np.isin(at, kept)
+            at, h, low, high = at[mine], h[mine], (at - last)[mine], (at - first)[mine]
             if not len(at):
                 continue
-            start = np.flatnonzero(np.isin(at, kept))
-            parts.append(pd.DataFrame({"window": run_hashes(words, LEAST)[start].view(np.int64), "id": ident, "start": start.astype(np.int32)}))
-            rows += len(start)
-            if rows >= 200000:
-                yield pd.concat(parts)
-                parts, rows = [], 0
-        if parts:
-            yield pd.concat(parts)
-
-
-def _joined(start: np.ndarray) -> list[list[int]]:
-    """The union of the windows that start at these positions, as [start, end)."""
-    start = np.unique(start)
+            short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
+            after = short[np.minimum(at[:, None] + SEED + reach, len(words) - 1)]
+            before = short[np.maximum(at[:, None] - 1 - reach, 0)]
+            rows.append((h.view(np.int64), np.full(len(at), ident, dtype=np.int64), np.full(len(at), part, dtype=np.int64), at, low, high, after, before))
+            size += len(at)
+            if size >= CHUNK:
+                yield table(rows)
+                rows, size = [], 0
+        if rows:
+            yield table(rows)
+
+
+def _shared(rows: pa.Table) -> pa.RecordBatch | None:
+    """For suffixes sorted by (key, after): the windows around each that other documents hold."""
+    rows = rows.combine_chunks()
+    column = {c: rows.column(c).chunk(0) if rows.num_rows else rows.column(c).combine_chunks() for c in rows.column_names}
+    key, ident, low, high = (column[c].to_numpy() for c in ("key", "id", "low", "high"))
+    after, before = _matrix(column["after"]), _matrix(column["before"])
+    n = len(key)
+    if n < 2:
+        return None
+    # longest common prefix of neighbours, in words after the seed; -1 where the seed differs
+    differs = after[1:] != after[:-1]
+    prefix = np.where(differs.any(axis=1), differs.argmax(axis=1), SIDE)
+    prefix = np.concatenate(([-1], np.where(key[1:] == key[:-1], prefix, -1)))
+    held, cut = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    left = np.zeros(n, dtype=np.uint64)  # hash of the words that the match is extended by to the left
+    for reach in range(SIDE + 1):
+        if reach:
+            left = mix64(left * _ROLL + before[:, reach - 1])
+        rows_here = np.flatnonzero((low <= reach) & (reach <= high))
+        if len(rows_here) < 2:
+            continue
+        run = np.cumsum(prefix < SIDE - reach).astype(np.uint64)  # suffixes that agree in all words to the window's end
+        same = mix64(left[rows_here] ^ mix64(run[rows_here]))
+        order = np.argsort(same, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
+        ids = ident[rows_here][order]
+        size = np.diff(np.concatenate((starts, [len(ids)])))
+        least, most = np.repeat(np.minimum.reduceat(ids, starts), size), np.repeat(np.maximum.reduceat(ids, starts), size)
+        where = rows_here[order]
+        held[where] |= (least < most).astype(np.int64) << reach
+        cut[where] |= (least < ids).astype(np.int64) << reach
+    found = np.flatnonzero(held)
+    if not len(found):
+        return None
+    at = column["at"].to_numpy()[found].astype(np.int64) << 32
+    return pa.RecordBatch.from_arrays([column["id"].take(found), column["part"].take(found), pa.array(at | held[found]), pa.array(at | cut[found])], names=["id", "part", "held", "cut"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feeds whole seeds, some ``CHUNK`` suffixes at a time, to :func:`_shared`."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        size += batch.num_rows
+        if size < CHUNK:
+            continue
+        rows = pa.Table.from_batches(waiting)
+        key = rows.column("key").to_numpy()
+        whole = int(np.searchsorted(key, key[-1]))  # the last seed may go on in the next batch
+        if (out := _shared(rows.slice(0, whole))) is not None:
+            yield out
+        waiting, size = rows.slice(whole).combine_chunks().to_batches(), len(key) - whole
+    if waiting and (out := _shared(pa.Table.from_batches(waiting))) is not None:
+        yield out
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (id, part, text, kept positions): a row per window around a kept seed."""
+    for batch in batches:
+        for ident, part, text, kept in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "text", "kept")), strict=True):
+            words = word_hashes(text)[0]
+            at, h, first, last = minimisers(words)
+            mine = np.flatnonzero(np.isin(at, kept))
+            if not len(mine):
+                continue
+            start = np.concatenate([np.arange(first[k], last[k] + 1) for k in mine])
+            seeds = np.repeat(h[mine], last[mine] - first[mine] + 1)
+            n = len(start)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seeds.view(np.int64)), pa.array(run_hashes(words, LEAST)[start].view(np.int64)), pa.array(np.full(n, ident, dtype=np.int64)), pa.array(np.full(n, part, dtype=np.int64)), pa.array(start.astype(np.int32))],
+                names=["key", "window", "id", "part", "start"],
+            )
+
+
+def _spans(marks: np.ndarray) -> list[list[int]]:
+    """The union of windows as [start, end); a mark holds a seed's position and, in bit k, whether a window starts k words before it."""
+    at, bits = marks >> 32, marks & 0xFFFFFFFF
+    reach = np.arange(SIDE + 1)
+    start = np.unique((at[:, None] - reach)[(bits[:, None] >> reach) & 1 == 1])
+    if not len(start):
+        return []
     breaks = np.flatnonzero(np.diff(start) > LEAST)
-    return [[int(a), int(b) + LEAST] for a, b in zip(start[np.concatenate(([0], breaks + 1))], start[np.concatenate((breaks, [-1]))], strict=True)] if len(start) else []
+    return [[int(a), int(b) + LEAST] for a, b in zip(start[np.concatenate(([0], breaks + 1))], start[np.concatenate((breaks, [-1]))], strict=True)]
 
 
 def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        merged = []
-        for spans in pdf["spans"]:
-            start, first = spans >> 1, spans & 1 == 1  # packed: 2 * start + first
-            merged.append((_joined(start), _joined(start[~first])))
-        yield pd.DataFrame({"id": pdf["id"], "spans": [m[0] for m in merged], "cut": [m[1] for m in merged]})
+        yield pd.DataFrame({"id": pdf["id"], "part": pdf["part"], "spans": [_spans(m) for m in pdf["held"]], "cut": [_spans(m) for m in pdf["cut"]]})
+
 
+def text_part(text: Column) -> Column:
+    """Tells apart the texts of rows with one id."""
+    return F.xxhash64(text)
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, spans, cut) of documents that share passages of ``LEAST`` words or more with others.
 
-    ``spans`` are [start, end) in words; ``cut`` leaves out windows of ``LEAST`` words that no
-    smaller id holds, so of words that are cut a copy stays in a document of smaller id.
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(id, part, spans, cut) of texts that share passages of ``LEAST`` words or more with other documents.
+
+    ``part`` is :func:`text_part` of the text. ``spans`` are [start, end) in words; ``cut`` leaves out
+    windows of ``LEAST`` words that no smaller id holds, so of words that are cut a copy stays in a
+    document of smaller id.
     """
-    texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text")).filter("id is not null and text is not null")
-    suffixes = staged(texts.mapInPandas(_retained, "key long, id long, at int"), "suffixes")
-    shared = staged(suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key"), "seeds")
-    kept = suffixes.join(shared, "key").groupBy("id").agg(F.collect_list("at").alias("kept"))
-    windows = staged(texts.join(kept, "id").mapInPandas(_windows, "window long, id long, start int"), "windows")
-    repeated = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("window", "low")
-    repeated = staged(repeated, "repeated")  # between plain reads, Spark can cut a frequent window's rows apart
-    packed = F.col("start").cast("long") * 2 + (F.col("id") == F.col("low")).cast("long")
-    found = windows.join(repeated, "window").groupBy("id").agg(F.collect_list(packed).alias("spans"))
-    return found.mapInPandas(_union, "id long, spans array<array<int>>, cut array<array<int>>")
+    texts = docs.select(docs[id_column].cast("long").alias("id"), text_part(docs[text_column]).alias("part"), docs[text_column].alias("text")).filter("id is not null and text is not null")
+    suffixes = staged(texts.mapInPandas(_retained, "key long, id long, part long, at int"), "suffixes")
+    seeds = suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n")
+    seeds = staged(seeds, "seeds")
+
+    def around(some: DataFrame) -> DataFrame:
+        """Texts with the positions of some seeds in them."""
+        kept = suffixes.join(some.select("key"), "key").groupBy("id", "part").agg(F.collect_list("at").alias("kept"))
+        return texts.join(kept, ["id", "part"]).select("id", "part", "text", "kept")
+
+    sorted_suffixes = around(seeds.filter(F.col("n") <= frequent)).mapInArrow(_contexts, _CONTEXT).repartition("key").sortWithinPartitions("key", "after")
+    found = sorted_suffixes.mapInArrow(_compared, "id long, part long, held long, cut long")
+    hot = seeds.filter(F.col("n") > frequent)
+    if not hot.isEmpty():
+        windows = staged(around(hot).mapInArrow(_windows, "key long, window long, id long, part long, start int"), "windows")
+        repeated = windows.groupBy("key", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key", "window", "least")
+        repeated = staged(repeated, "repeated")  # between plain reads, Spark can cut a frequent window's rows apart
+        start = F.shiftleft(F.col("start").cast("long"), 32)
+        found = found.unionByName(windows.join(repeated, ["key", "window"]).select("id", "part", (start + 1).alias("held"), (start + (F.col("id") > F.col("least")).cast("long")).alias("cut")))
+    marks = found.groupBy("id", "part").agg(F.collect_list("held").alias("held"), F.collect_list("cut").alias("cut"))
+    return marks.mapInPandas(_union, "id long, part long, spans array<array<int>>, cut array<array<int>>")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the ``cut`` passages taken out of their texts; other texts stay as they are."""
-    columns = docs.columns
-    joined = docs.join(passages.select(F.col("id").alias(id_column), F.col("cut").alias("_cut")), id_column, "left")
+    own = "_" * (1 + max(map(len, docs.columns)))  # a prefix that no column has
+    taken = passages.select(F.col("id").alias(f"{own}id"), F.col("part").alias(f"{own}part"), F.col("cut").alias(f"{own}cut"))
+    same = (docs[id_column].cast("long") == taken[f"{own}id"]) & (text_part(docs[text_column]) == taken[f"{own}part"])
+    joined = docs.join(taken, same, "left")
 
     @F.pandas_udf("string")
     def shorten(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -145,16 +289,19 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_column: str = "doc
             out.append(b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text_column, shorten(F.col(text_column), F.col("_cut"))).select(*columns)
+    return joined.select(*[shorten(docs[c], F.col(f"{own}cut")).alias(c) if c == text_column else docs[c] for c in docs.columns])
 
 
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: repeated passages and what of them later copies hold, in words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = repeated_passages(docs)
-    joined = docs.select(F.col("doc_id").cast("long").alias("id")).join(found, "id", "left")
+    joined = docs.select(F.col("doc_id").cast("long").alias("id"), text_part(F.col("text")).alias("part")).join(found, ["id", "part"], "left")
+
     def words(spans: str) -> F.Column:
         return F.coalesce(F.aggregate(spans, F.lit(0), lambda acc, s: acc + s[1] - s[0]), F.lit(0)).cast("long")
+
     def text(spans: str) -> F.Column:
         return F.coalesce(F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s[0], s[1])), ","), F.lit(""))
+
     return joined.select(F.col("id").alias("doc_id"), words("spans").alias("repeated_words"), words("cut").alias("cut_words"), text("spans").alias("spans"), text("cut").alias("cut"))

@@ -59,6 +59,31 @@ def test_empty(spark):
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_of_one_id_and_frequent_seeds(spark):
+    shared = passage("s", 70)
+    docs = [(1, f"{passage('a', 40)} {shared}"), (2, shared), (2, f"{passage('b', 9)} {shared} {passage('c', 60)}"), (2, shared), (3, passage("z", 80))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, part string")
+    for frequent in (1024, 2):  # by neighbours, and by hashes of windows
+        found = repeated_passages(df, frequent=frequent)
+        got = sorted((r.id, [tuple(s) for s in r.spans], [tuple(s) for s in r.cut]) for r in found.collect())
+        assert got == [(1, [(40, 110)], []), (2, [(0, 70)], [(0, 70)]), (2, [(9, 79)], [(9, 79)])]
+        left = sorted((r.doc_id, r.text.split(), r.part) for r in without_passages(df, found).collect())
+        want = [(1, docs[0][1].split(), "x"), (2, [], "x"), (2, [], "x"), (2, (passage("b", 9) + " " + passage("c", 60)).split(), "x"), (3, passage("z", 80).split(), "x")]
+        assert left == want
+
+
+def test_overlaps_on_one_side_of_a_seed(spark):
+    """Twenty documents share a core of 49 words; each pair of them shares one more word, on its left or on its right."""
+    core = passage("m", 49)
+    docs = [(k, f"{passage(f'a{k}x', 30)} {'left' if k % 4 < 2 else 'own'}{k // 4 * 4} {core} {'right' if k % 4 >= 2 else 'own'}{k} {passage(f'b{k}x', 30)}") for k in range(20)]
+    docs += [(100 + k, f"{passage(f'c{k}x', 30)} {core} right{k} {passage(f'd{k}x', 30)}") for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = {i: w for i, w in brute(docs).items() if w}
+    for frequent in (1024, 5):
+        got = spread(repeated_passages(df, frequent=frequent))
+        assert {i: g[0] for i, g in got.items()} == want and len(want) > 20
+
+
 def spread(found):
     return {r.id: (covered([tuple(s) for s in r.spans]), covered([tuple(s) for s in r.cut])) for r in found.collect()}
 
