@@ -10,9 +10,11 @@ the prefixes make. So every retained suffix learns, for each way to lay a window
 over its seed, whether another document holds that window and whether one of smaller id does; there is
 no limit to the neighbours that a suffix is compared with. A passage is the union of its windows.
 
-All suffixes of one seed meet in one task, which is fit for seeds that occur up to ``FREQUENT`` times.
-The windows around more frequent seeds are hashed whole instead and counted by that hash, with partial
-sums, so that a seed which a third of the corpus holds is never gathered; the result is the same.
+All suffixes of one seed meet in one task, which is fit for seeds that occur up to ``FREQUENT`` times. Of
+more frequent seeds, which a third of the corpus may hold, suffixes with equal words around the seed are
+first folded into one shape, with partial sums, and shapes are sorted and compared. Only where even the
+shapes of a seed number more than that are windows counted by a hash of their words. Results are the
+same in all three ways.
 
 Defined cases. Null and blank texts and texts of fewer than ``LEAST`` words repeat nothing. Words are
 compared with A-Z in lower case and any white space between. Rows whose id is null are not
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm.words import mix64, word_hashes
+from propgraph.operators.joins import lookup
 from propgraph.plans.staging import staged
 
 #: Words of a repeated passage, of a suffix's seed, and seeds among which a minimiser is the least.
@@ -41,7 +44,7 @@ LEAST, SEED = 50, 32
 WINDOW = LEAST - SEED + 1
 #: Words on one side of a seed that a window can reach.
 SIDE = LEAST - SEED
-#: Occurrences of a seed above which its windows are counted by their hash.
+#: Occurrences of a seed above which its suffixes are folded, and shapes above which their windows are counted.
 FREQUENT = 1024
 #: Suffixes that are compared at once.
 CHUNK = 100_000
@@ -138,81 +141,110 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table(rows)
 
 
-def _shared(rows: pa.Table) -> pa.RecordBatch | None:
-    """For suffixes sorted by (key, after): the windows around each that other documents hold."""
-    rows = rows.combine_chunks()
-    column = {c: rows.column(c).chunk(0) if rows.num_rows else rows.column(c).combine_chunks() for c in rows.column_names}
-    key, ident, low, high = (column[c].to_numpy() for c in ("key", "id", "low", "high"))
+def _shared(rows: pa.Table, first: str, last: str) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes sorted by (key, after): bit k of ``held`` says that another document holds the window that starts
+    k words before the seed, bit k of ``cut`` that a smaller id does. A suffix stands for ids from column ``first`` to ``last``."""
+    column = {c: rows.column(c).combine_chunks() for c in {"key", "low", "high", "after", "before", first, last}}
+    key, low, high, small, large = (column[c].to_numpy() for c in ("key", "low", "high", first, last))
     after, before = _matrix(column["after"]), _matrix(column["before"])
-    n = len(key)
-    if n < 2:
-        return None
     # longest common prefix of neighbours, in words after the seed; -1 where the seed differs
     differs = after[1:] != after[:-1]
     prefix = np.where(differs.any(axis=1), differs.argmax(axis=1), SIDE)
     prefix = np.concatenate(([-1], np.where(key[1:] == key[:-1], prefix, -1)))
-    held, cut = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    left = np.zeros(n, dtype=np.uint64)  # hash of the words that the match is extended by to the left
+    held, cut = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+    left = np.zeros(len(key), dtype=np.uint64)  # hash of the words that the match is extended by to the left
     for reach in range(SIDE + 1):
         if reach:
             left = mix64(left * _ROLL + before[:, reach - 1])
-        rows_here = np.flatnonzero((low <= reach) & (reach <= high))
-        if len(rows_here) < 2:
+        here = np.flatnonzero((low <= reach) & (reach <= high))
+        if not len(here):
             continue
         run = np.cumsum(prefix < SIDE - reach).astype(np.uint64)  # suffixes that agree in all words to the window's end
-        same = mix64(left[rows_here] ^ mix64(run[rows_here]))
+        same = mix64(left[here] ^ mix64(run[here]))
         order = np.argsort(same, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
-        ids = ident[rows_here][order]
-        size = np.diff(np.concatenate((starts, [len(ids)])))
-        least, most = np.repeat(np.minimum.reduceat(ids, starts), size), np.repeat(np.maximum.reduceat(ids, starts), size)
-        where = rows_here[order]
+        where = here[order]
+        size = np.diff(np.concatenate((starts, [len(where)])))
+        least, most = np.repeat(np.minimum.reduceat(small[where], starts), size), np.repeat(np.maximum.reduceat(large[where], starts), size)
         held[where] |= (least < most).astype(np.int64) << reach
-        cut[where] |= (least < ids).astype(np.int64) << reach
-    found = np.flatnonzero(held)
-    if not len(found):
-        return None
-    at = column["at"].to_numpy()[found].astype(np.int64) << 32
-    return pa.RecordBatch.from_arrays([column["id"].take(found), column["part"].take(found), pa.array(at | held[found]), pa.array(at | cut[found])], names=["id", "part", "held", "cut"])
+        cut[where] |= (least < small[where]).astype(np.int64) << reach
+    return held, cut
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feeds whole seeds, some ``CHUNK`` suffixes at a time, to :func:`_shared`."""
+def _compared(batches: Iterator[pa.RecordBatch], first: str, last: str, out: list[str]) -> Iterator[pa.RecordBatch]:
+    """Feeds whole seeds, some ``CHUNK`` suffixes at a time, to :func:`_shared`; the columns ``out`` with held and cut."""
+
+    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows:
+            held, cut = _shared(rows, first, last)
+            found = np.flatnonzero(held)
+            rows = rows.select(out).take(found).append_column("held", pa.array(held[found])).append_column("cut", pa.array(cut[found]))
+            yield from rows.to_batches()
+
     waiting: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
         waiting.append(batch)
         size += batch.num_rows
         if size < CHUNK:
             continue
         rows = pa.Table.from_batches(waiting)
         key = rows.column("key").to_numpy()
-        whole = int(np.searchsorted(key, key[-1]))  # the last seed may go on in the next batch
-        if (out := _shared(rows.slice(0, whole))) is not None:
-            yield out
-        waiting, size = rows.slice(whole).combine_chunks().to_batches(), len(key) - whole
-    if waiting and (out := _shared(pa.Table.from_batches(waiting))) is not None:
-        yield out
+        whole = int(np.flatnonzero(key == key[-1])[0])  # the last seed may go on in the next batch
+        yield from done(rows.slice(0, whole))
+        waiting, size = rows.slice(whole).to_batches(), len(key) - whole
+    if waiting:
+        yield from done(pa.Table.from_batches(waiting))
+
+
+def _compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _compared(batches, "id", "id", ["id", "part", "at"])
+
+
+def _compared_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _compared(batches, "least", "most", ["shape"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For (id, part, text, kept positions): a row per window around a kept seed."""
+    """For (shape, least, most, low, high, after, before): a row per window, with a hash of its words beyond the seed."""
     for batch in batches:
-        for ident, part, text, kept in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "text", "kept")), strict=True):
-            words = word_hashes(text)[0]
-            at, h, first, last = minimisers(words)
-            mine = np.flatnonzero(np.isin(at, kept))
-            if not len(mine):
-                continue
-            start = np.concatenate([np.arange(first[k], last[k] + 1) for k in mine])
-            seeds = np.repeat(h[mine], last[mine] - first[mine] + 1)
-            n = len(start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seeds.view(np.int64)), pa.array(run_hashes(words, LEAST)[start].view(np.int64)), pa.array(np.full(n, ident, dtype=np.int64)), pa.array(np.full(n, part, dtype=np.int64)), pa.array(start.astype(np.int32))],
-                names=["key", "window", "id", "part", "start"],
-            )
+        low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
+        after, before = _matrix(batch.column("after")), _matrix(batch.column("before"))
+        left, right = [np.zeros(len(low), dtype=np.uint64)], [np.zeros(len(low), dtype=np.uint64)]
+        for k in range(SIDE):
+            left.append(mix64(left[-1] * _ROLL + before[:, k]))
+            right.append(mix64(right[-1] * _UNROLL + after[:, k]))
+        for reach in range(SIDE + 1):
+            here = np.flatnonzero((low <= reach) & (reach <= high))
+            if len(here):
+                window = mix64(left[reach][here] * _UNROLL + right[SIDE - reach][here])
+                rows = pa.Table.from_batches([batch]).select(["shape", "least", "most"]).take(here)
+                rows = rows.append_column("reach", pa.array(np.full(len(here), reach, dtype=np.int32))).append_column("window", pa.array(window.view(np.int64)))
+                yield from rows.combine_chunks().to_batches()
+
+
+def _frequent(rows: DataFrame, frequent: int) -> DataFrame:
+    """Marks for suffixes of frequent seeds: those with equal words around their seed are one shape, and shapes are compared."""
+    shape = F.struct("key", F.xxhash64("low", "high", "after", "before").alias("around"))
+    rows = staged(rows.withColumn("shape", shape), "frequent-suffixes")
+    around = [F.first(c).alias(c) for c in ("low", "high", "after", "before")]
+    shapes = rows.groupBy("shape").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"), *around).withColumn("key", F.col("shape.key"))
+    shapes = staged(shapes, "shapes")
+    wide = staged(shapes.groupBy("key").agg(F.count(F.lit(1)).alias("shapes")).filter(F.col("shapes") > frequent).select("key"), "wide-seeds")
+    schema = "shape struct<key: bigint, around: bigint>, held long, cut long"
+    marks = shapes.join(wide, "key", "left_anti").repartition("key").sortWithinPartitions("key", "after").mapInArrow(_compared_shapes, schema)
+    if not wide.isEmpty():  # too many shapes for one task: their windows are counted instead
+        kinds = "shape struct<key: bigint, around: bigint>, least long, most long, reach int, window long"
+        windows = staged(shapes.join(wide, "key", "left_semi").mapInArrow(_windows, kinds).withColumn("key", F.col("shape.key")), "windows")
+        repeated = windows.groupBy("key", "reach", "window").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first <> last").drop("last")
+        repeated = staged(repeated, "repeated")  # between plain reads, Spark can cut a frequent window's rows apart
+        bit = F.expr("shiftleft(1L, reach)")
+        found = windows.join(repeated, ["key", "reach", "window"])
+        marks = marks.unionByName(found.groupBy("shape").agg(F.bit_or(bit).alias("held"), F.bit_or(F.when(F.col("first") < F.col("least"), bit).otherwise(F.lit(0))).alias("cut")))
+    marks = staged(marks.join(shapes.select("shape", "least", "n"), "shape"), "shape-marks")
+    found = lookup(rows.select("id", "part", "at", "shape"), marks, "shape", "n", rows.count())
+    # every id of a shape but the least has that one before it
+    return found.select("id", "part", "at", "held", F.when(F.col("id") > F.col("least"), F.col("held")).otherwise(F.col("cut")).alias("cut"))
 
 
 def _spans(marks: np.ndarray) -> list[list[int]]:
@@ -253,15 +285,13 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         kept = suffixes.join(some.select("key"), "key").groupBy("id", "part").agg(F.collect_list("at").alias("kept"))
         return texts.join(kept, ["id", "part"]).select("id", "part", "text", "kept")
 
-    sorted_suffixes = around(seeds.filter(F.col("n") <= frequent)).mapInArrow(_contexts, _CONTEXT).repartition("key").sortWithinPartitions("key", "after")
-    found = sorted_suffixes.mapInArrow(_compared, "id long, part long, held long, cut long")
+    plain = around(seeds.filter(F.col("n") <= frequent)).mapInArrow(_contexts, _CONTEXT)
+    found = plain.repartition("key").sortWithinPartitions("key", "after").mapInArrow(_compared_rows, "id long, part long, at int, held long, cut long")
     hot = seeds.filter(F.col("n") > frequent)
     if not hot.isEmpty():
-        windows = staged(around(hot).mapInArrow(_windows, "key long, window long, id long, part long, start int"), "windows")
-        repeated = windows.groupBy("key", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("key", "window", "least")
-        repeated = staged(repeated, "repeated")  # between plain reads, Spark can cut a frequent window's rows apart
-        start = F.shiftleft(F.col("start").cast("long"), 32)
-        found = found.unionByName(windows.join(repeated, ["key", "window"]).select("id", "part", (start + 1).alias("held"), (start + (F.col("id") > F.col("least")).cast("long")).alias("cut")))
+        found = found.unionByName(_frequent(around(hot).mapInArrow(_contexts, _CONTEXT), frequent))
+    at = F.shiftleft(F.col("at").cast("long"), 32)
+    found = found.select("id", "part", at.bitwiseOR(F.col("held")).alias("held"), at.bitwiseOR(F.col("cut")).alias("cut"))
     marks = found.groupBy("id", "part").agg(F.collect_list("held").alias("held"), F.collect_list("cut").alias("cut"))
     return marks.mapInPandas(_union, "id long, part long, spans array<array<int>>, cut array<array<int>>")
 

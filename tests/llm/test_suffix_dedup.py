@@ -63,7 +63,7 @@ def test_texts_of_one_id_and_frequent_seeds(spark):
     shared = passage("s", 70)
     docs = [(1, f"{passage('a', 40)} {shared}"), (2, shared), (2, f"{passage('b', 9)} {shared} {passage('c', 60)}"), (2, shared), (3, passage("z", 80))]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, part string")
-    for frequent in (1024, 2):  # by neighbours, and by hashes of windows
+    for frequent in (1024, 3, 1):  # by neighbours, by shapes, by windows
         found = repeated_passages(df, frequent=frequent)
         got = sorted((r.id, [tuple(s) for s in r.spans], [tuple(s) for s in r.cut]) for r in found.collect())
         assert got == [(1, [(40, 110)], []), (2, [(0, 70)], [(0, 70)]), (2, [(9, 79)], [(9, 79)])]
@@ -79,7 +79,7 @@ def test_overlaps_on_one_side_of_a_seed(spark):
     docs += [(100 + k, f"{passage(f'c{k}x', 30)} {core} right{k} {passage(f'd{k}x', 30)}") for k in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     want = {i: w for i, w in brute(docs).items() if w}
-    for frequent in (1024, 5):
+    for frequent in (1024, 39, 5):
         got = spread(repeated_passages(df, frequent=frequent))
         assert {i: g[0] for i, g in got.items()} == want and len(want) > 20
 
