@@ -79,7 +79,8 @@ class Windows:
         return [self.held[key] for _, key in self.open]
 
 
-_SCHEMA = "id long, row long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
+#: Ids travel as text: beside a null, pandas would make floats of them.
+_SCHEMA = "id string, row long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
 
 
 def _table(sequences: list[tuple[int, list, bool]]) -> pd.DataFrame:
@@ -89,9 +90,7 @@ def _table(sequences: list[tuple[int, list, bool]]) -> pd.DataFrame:
         for ident, row, start, ids, total in pieces:
             rows.append((ident, row, start, len(ids) // 4, ids, total, number, offset, is_open))
             offset += len(ids) // 4
-    out = pd.DataFrame(rows, columns=["id", "row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "open"])
-    out["id"] = out["id"].astype("Int64")
-    return out
+    return pd.DataFrame(rows, columns=["id", "row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "open"])
 
 
 def _first_pass(tokenizer: str, end_id: int, capacity: int, windows: int, least_cut: int):
@@ -112,7 +111,7 @@ def _first_pass(tokenizer: str, end_id: int, capacity: int, windows: int, least_
         for pdf in batches:
             for ident, text in zip(pdf["id"], pdf["text"], strict=True):
                 ids = tokens.of(text) + tail
-                state.add((None if pd.isna(ident) else int(ident), row, 0, ids, len(ids) // 4))
+                state.add((ident, row, 0, ids, len(ids) // 4))
                 row += 1
                 if len(ready) >= 500:
                     yield _table(ready)
@@ -131,7 +130,6 @@ def _merge_pass(capacity: int, windows: int, least_cut: int):
         pieces: list = []
         for pdf in batches:
             pieces += zip(pdf["id"], pdf["row"], pdf["start"], map(bytes, pdf["ids"]), pdf["doc_tokens"], strict=True)
-        pieces = [(None if pd.isna(p[0]) else int(p[0]), *p[1:]) for p in pieces]
         pieces.sort(key=lambda p: (-len(p[3]), p[1], p[2]))
         number = (1 << 62) + (TaskContext.get().partitionId() << 33)
         ready: list = []
@@ -161,14 +159,15 @@ def _merge_pass(capacity: int, windows: int, least_cut: int):
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, windows: int = 64, least_cut: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pieces of sequences: id, row, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
+    texts = docs.select(docs[id_column].cast("long").cast("string").alias("id"), docs[text_column].alias("text"))
     first = staged(texts.mapInPandas(_first_pass(tokenizer, end_id, capacity, windows, least_cut), _SCHEMA), "packed")
     waiting = first.filter("open").select("sequence_id").distinct().count()
     tasks = max(1, waiting // MERGED)
     left = first.filter("open")
     left = left.repartition(tasks, F.xxhash64("sequence_id")) if tasks > 1 else left.coalesce(1)
     merged = left.mapInPandas(_merge_pass(capacity, windows, least_cut), _SCHEMA)
-    return first.filter("not open").unionByName(merged).drop("open")
+    pieces = first.filter("not open").unionByName(merged).drop("open")
+    return pieces.withColumn("id", F.col("id").cast("long"))
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,9 @@ def test_query_digests(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     ids = {i: w + b"\1\0\0\0" for i, w in zip(texts, whole(texts.values()), strict=True)}
     assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) for r in rows)
+
+
+def test_ids_beyond_doubles_beside_null(spark):
+    big = [2**53 + 1, 2**53 + 3, 2**63 - 1, None]
+    df = spark.createDataFrame([(i, "a b") for i in big], "doc_id long, text string").coalesce(1)
+    assert {r.id for r in pack(df, PATH).collect()} == set(big)
