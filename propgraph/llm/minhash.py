@@ -20,7 +20,8 @@ distinct runs of five words, or its whole sequence if that is shorter. Documents
 Defined cases. Null and blank texts have an empty set and are linked with nothing. A row whose id is
 null is linked with nothing, has no component and is kept. Rows that repeat share their class;
 rows of one id with different texts count each with its own text, and links of either hold for the
-id. An empty table gives an empty result. Other columns, of any name, are not read.
+id. Texts of any length have their whole sets; blocks are cut by the hashes that they hold, so only a single
+text's set must fit into a task. An empty table gives an empty result. Other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BATCH = 25
 MISS = 1e-5
-BLOCK = 1024
+#: Members of a bucket that meet in one block on either side, and hashes of full sets that a block holds, about.
+BLOCK, BLOCK_HASHES = 512, 1 << 21
 _SALT = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 _XOR, _MULTIPLY = _SALT[:HASHES, None], _SALT[HASHES:, None] | np.uint32(1)
 
@@ -113,9 +115,7 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((ident, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (minima & np.uint32(255)).astype(np.uint8).tobytes(), band_keys(minima)))
                 else:
                     rows.append((ident, 0, b"", None, None))
-            out = pd.DataFrame(rows, columns=["id", "n", "digest", "sig", "bands"])
-            out["id"] = out["id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["id", "n", "digest", "sig", "bands"])
 
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,8 +227,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: i
 
 def _blocks(others: DataFrame, probes: DataFrame, n_others: Column, n_probes: Column, columns: list[str]) -> DataFrame:
     """Rows (key, i, j, probe, id, columns) such that each probe of a key meets each other row in one
-    block (i, j) of at most about ``BLOCK`` of either kind, sorted by block within partitions."""
-    down, across = F.ceil(n_probes / BLOCK).cast("int"), F.ceil(n_others / BLOCK).cast("int")
+    block (i, j); ``n_others`` and ``n_probes`` say into how many parts they are cut. Sorted by block within partitions."""
+    down, across = F.ceil(n_probes).cast("int"), F.ceil(n_others).cast("int")
     mine = F.pmod(F.xxhash64("id"), across.cast("long")).cast("int")
     theirs = F.pmod(F.xxhash64("id", F.lit(1)), down.cast("long")).cast("int")
     left = others.select("key", F.explode(F.sequence(F.lit(0), down - 1)).alias("i"), mine.alias("j"), F.col("_ask").alias("probe"), "id", *columns)
@@ -239,7 +239,9 @@ def _blocks(others: DataFrame, probes: DataFrame, n_others: Column, n_probes: Co
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable), kept."""
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
-    sketches = staged(texts.mapInPandas(_sketched, "id long, n long, digest binary, sig binary, bands array<long>"), "near-sketches")
+    named = texts.withColumn("id", F.col("id").cast("string"))  # beside a null, pandas would make floats of ids
+    sketches = named.mapInPandas(_sketched, "id string, n long, digest binary, sig binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
+    sketches = staged(sketches, "near-sketches")
     full = sketches.filter("n > 0 and id is not null")
     classes = full.groupBy("digest").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
@@ -270,14 +272,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     open_rows = where.join(mains, "key").join(slim, "id")
     blocked = _blocks(
         open_rows.withColumn("_ask", F.lit(False)), open_rows.filter("comp <> main").withColumn("_ask", F.lit(True)),
-        F.col("size"), F.col("size") - F.col("in_main"), ["comp", "weight", "n", "sig"],
+        F.col("size") / BLOCK, (F.col("size") - F.col("in_main")) / BLOCK, ["comp", "weight", "n", "sig"],
     )
     near = staged(blocked.mapInPandas(_crossing(percent), "a long, comp long").distinct(), "near-components")
-    asked = near.groupBy("comp").agg(F.count(F.lit(1)).alias("asking"))
+    sizes = slim.select(F.col("id").alias("a"), "n")
+    asked = staged(near.join(sizes, "a").groupBy("comp").agg(F.count(F.lit(1)).alias("asking"), F.sum("n").alias("asking_hashes")), "near-asked")
+    held = comps.join(asked.select("comp"), "comp", "left_semi").join(slim.select("id", "n"), "id").groupBy("comp").agg(F.sum("n").alias("hashes"))
+    asked = asked.join(held, "comp")
     inside = comps.join(asked, "comp").join(slim, "id").withColumn("key", F.col("comp"))
     asking = near.join(asked, "comp").join(comps.select("comp", "weight").distinct(), "comp").withColumnRenamed("a", "id").join(slim, "id").withColumn("key", F.col("comp"))
     sets = staged(_sets(inside.select("id").unionByName(asking.select("id")), texts, classes), "near-sets")
-    blocked = _blocks(inside.join(sets, "id").withColumn("_ask", F.lit(False)), asking.join(sets, "id").withColumn("_ask", F.lit(True)), F.col("weight"), F.col("asking"), ["n", "sig", "set"])
+    n_inside = F.greatest(F.col("weight") / BLOCK, F.col("hashes") / BLOCK_HASHES)
+    n_asking = F.greatest(F.col("asking") / BLOCK, F.col("asking_hashes") / BLOCK_HASHES)
+    blocked = _blocks(inside.join(sets, "id").withColumn("_ask", F.lit(False)), asking.join(sets, "id").withColumn("_ask", F.lit(True)), n_inside, n_asking, ["n", "sig", "set"])
     more = staged(blocked.mapInPandas(_linking(percent), "a long, b long").distinct(), "near-links")
     if not more.isEmpty():
         links = links.unionByName(more)
