@@ -2,9 +2,9 @@
 
 Target text (documents labelled of good quality) and raw text (all documents) each get a generative
 model: a bag of hashed word unigrams and bigrams. A document's importance weight is the ratio of
-the two likelihoods; its log, for each n-gram so that length does not decide, is scaled and perturbed
-by Gumbel noise seeded with the id, and the top ``k`` are taken: sampling without replacement in
-proportion to the weights. The k-th key is found with a histogram of keys, so only one narrow bin is
+the two likelihoods; its log is perturbed by Gumbel noise seeded with the id, and the top ``k`` are
+taken: sampling without replacement in proportion to the weights. (``temper`` replaces the log weight
+by so many times its mean over the n-grams, for which length does not count.) The k-th key is found with a histogram of keys, so only one narrow bin is
 sorted.
 
 The raw model counts all documents. The target model is fitted on at most ``TARGET_DOCS`` labelled
@@ -12,8 +12,9 @@ documents, those of the least hash of their id; their ids are broadcast, so one
 counts for both models and no text is shuffled.
 
 Defined cases. Null and blank text has no n-grams: log ratio 0, never selected. Null labels count as
-not labelled. A null id gets noise like any other. Rows that repeat get equal keys and are selected
-together or cut by ``row``; without target documents all ratios are 0. An empty table gives an empty result.
+not labelled. A null id gets noise like any other. Rows that repeat get equal keys; ties at the k-th key are
+selected together, so they can be more than k. Texts of any length are counted whole; columns of other
+names are not read. Without target documents all ratios are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ BUCKETS = 1 << 14
 SMOOTH = 1.0
 #: Labelled documents that the target model is fitted on, at most.
 TARGET_DOCS = 20_000
-#: Nats of noise are compared with so many times the mean log ratio of an n-gram.
-SCALE = 40.0
 
 
 def features(text: str | None) -> np.ndarray:
@@ -68,31 +67,38 @@ def log_ratios(docs: DataFrame) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def _scored(ratios, seed: int):
+def _scored(ratios, seed: int, temper: float | None):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sums = [(len(f), float(ratios.value[f].sum())) for f in map(features, pdf["text"])]
             n = np.array([s[0] for s in sums], dtype=np.int64)
             mean = np.array([s[1] for s in sums]) / np.maximum(n, 1)
-            ident = pdf["id"].fillna(-1).astype("int64").to_numpy().view(np.uint64)
+            ident = pdf["id"].to_numpy().view(np.uint64)
             uniform = ((mix64(ident + mix64(np.array([seed + 1], dtype=np.uint64))) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
-            key = np.where(n > 0, SCALE * mean - np.log(-np.log(uniform)), -np.inf)
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "n_grams": n, "log_ratio": mean, "key": key})
+            weight = mean * n if temper is None else temper * mean
+            key = np.where(n > 0, weight - np.log(-np.log(uniform)), -np.inf)
+            yield pd.DataFrame({"id": pdf["id"], "none": pdf["none"], "n_grams": n, "log_ratio": mean, "log_weight": mean * n, "key": key})
 
     return score
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float, seed: int = 11) -> DataFrame:
-    """Per document: id, n_grams, log_ratio (mean of its n-grams), key, selected (``share`` of all documents).
+def resample(docs: DataFrame, labels: DataFrame, share: float, seed: int = 11, temper: float | None = None) -> DataFrame:
+    """Per document: id, n_grams, log_ratio (mean of its n-grams), log_weight (their sum), key, selected (``share`` of all documents).
+
+    The key is ``log_weight``, or ``temper`` times ``log_ratio`` if that is given, plus Gumbel noise.
 
     ``labels`` has (id, good); a document is target text if any of its labels is good.
     """
     spark = docs.sparkSession
     good = labels.filter("good and id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TARGET_DOCS)
     good = F.broadcast(good.withColumn("good", F.lit(True)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    ident = F.col("doc_id").cast("long")
+    texts = docs.select(ident.alias("id"), "text")
+    # beside a null, pandas would make floats of ids
+    whole = docs.select(F.coalesce(ident, F.lit(-1)).alias("id"), ident.isNull().alias("none"), "text")
     ratios = spark.sparkContext.broadcast(log_ratios(texts.join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))))
-    scored = staged(texts.mapInPandas(_scored(ratios, seed), "id long, n_grams long, log_ratio double, key double"), "quality")
+    scored = whole.mapInPandas(_scored(ratios, seed, temper), "id long, none boolean, n_grams long, log_ratio double, log_weight double, key double")
+    scored = staged(scored.withColumn("id", F.when(~F.col("none"), F.col("id"))).drop("none"), "quality")
     able = scored.filter("n_grams > 0")
     k = min(round(share * scored.count()), able.count())
     cut = _kth_largest(able, k)

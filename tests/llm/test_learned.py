@@ -137,3 +137,25 @@ def test_quality_against_brute_force_and_odd_rows(spark):
     assert {r.key for r in rows if r.selected} == set(keys[: round(0.4 * len(docs))])
     assert quality.resample(df.filter("doc_id = 999"), labels, 0.4).count() == 0
     assert {r.log_ratio for r in quality.resample(df, labels.filter("false"), 0.4).collect()} == {0.0}
+
+
+def test_ids_beyond_doubles_beside_null(spark):
+    big = [2**53 + 1, 2**53 + 3, 2**63 - 1, None]
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(i, f"{text} {'more' * k}") for k, i in enumerate(big)], "doc_id long, text string").coalesce(1)
+    near = {r.id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert near == {big[0]: big[0], big[1]: big[0], big[2]: big[0], None: None}
+    labels = spark.createDataFrame([(big[0], True)], "id long, good boolean")
+    assert {r.id for r in quality.resample(df, labels, 0.5).collect()} == set(big)
+    model = langid.fit(df.withColumn("lang", F.lit("x")))
+    assert {r.doc_id for r in langid.identify(df, model).collect()} == set(big)
+
+
+def test_many_unlinked_members_of_one_bucket(spark):
+    """Members that share half of their shingles meet in buckets and are not linked; a few pairs among them are."""
+    rng = random.Random(8)
+    core = [f"c{k}" for k in range(90)]
+    rows = [(k, " ".join([*core, *(f"x{rng.randrange(10**9)}" for _ in range(34))])) for k in range(1500)]
+    rows += [(10_000 + k, rows[k * 7][1] + " tail") for k in range(20)]
+    got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {10_000 + k: k * 7 for k in range(20)}
