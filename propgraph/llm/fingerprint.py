@@ -7,7 +7,8 @@ of distinct shingles; up to ``k`` shingles they are exact.
 
 Defined cases. Null text counts as empty; a text without words has the empty sketch. Two empty
 sketches resemble each other fully, an empty and another not at all. Rows that repeat get equal
-sketches. An empty table gives an empty result. Null keys of :func:`merge_parts` form a group.
+sketches. Texts of any length give sketches of bounded size, from all of their shingles. An empty table gives
+an empty result. Null keys of :func:`merge_parts` form a group. Columns of any other name pass through.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ def with_fingerprint(df: DataFrame, text: Column, name: str, k: int = SKETCH) ->
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANK))
     hashes = F.transform(F.split(trimmed, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
     words = F.when(F.length(trimmed) > 0, hashes).otherwise(F.expr("cast(array() AS array<bigint>)"))
-    df = df.withColumn("_words", words)
-    w, n = F.col("_words"), F.size("_words")
-    shingles = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)]))
-    short = F.when(n > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() AS array<bigint>)"))
-    every = F.when(n >= WORDS, shingles).otherwise(short)
-    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(every)), 1, k)).drop("_words")
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        shingles = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)]))
+        short = F.when(n > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() AS array<bigint>)"))
+        return F.when(n >= WORDS, shingles).otherwise(short)
+
+    # the words are bound to a variable, so that no rule of the optimizer can put their expression in each of its places
+    every = F.get(F.transform(F.array(words), of), F.lit(0))
+    return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(every)), 1, k))
 
 
 def merged(a: Column, b: Column, k: int = SKETCH) -> Column:
@@ -59,14 +64,14 @@ def containment(a: Column, b: Column, k: int = SKETCH) -> Column:
 
 def merge_parts(parts: DataFrame, key: str, sketch: str, k: int = SKETCH, salts: int = 64) -> DataFrame:
     """One sketch per key from many; a hot key is first reduced in ``salts`` independent groups."""
-    rows = parts.select(key, F.explode(sketch).alias("_h")).withColumn("_salt", F.pmod("_h", F.lit(salts))).distinct()
-    for group in ([key, "_salt"], [key]):
-        order = Window.partitionBy(*group).orderBy("_h")
-        rows = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
-    keys = parts.select(key).distinct()
-    out = rows.groupBy(key).agg(F.sort_array(F.collect_list("_h")).alias(sketch)).withColumnRenamed(key, "_key")
-    joined = keys.join(out, keys[key].eqNullSafe(out["_key"]), "left").drop("_key")
-    return joined.withColumn(sketch, F.coalesce(sketch, F.expr("cast(array() AS array<bigint>)")))
+    rows = parts.select(parts[key].alias("key"), F.explode(parts[sketch]).alias("h")).withColumn("salt", F.pmod("h", F.lit(salts))).distinct()
+    for group in (["key", "salt"], ["key"]):
+        order = Window.partitionBy(*group).orderBy("h")
+        rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    keys = parts.select(parts[key].alias("whose")).distinct()
+    out = rows.groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("least"))
+    joined = keys.join(out, keys["whose"].eqNullSafe(out["key"]), "left")
+    return joined.select(F.col("whose").alias(key), F.coalesce("least", F.expr("cast(array() AS array<bigint>)")).alias(sketch))
 
 
 def as_text(sketch: Column) -> Column:

@@ -11,7 +11,7 @@ of the gap best is added or given back, a few times over.
 
 Defined cases. Null text has no words; documents without words get the whole copies and no more.
 A null source is a source of its own, the last. Rows that repeat are documents of their own, but
-are taken together. An empty table gives
+are taken together. Texts of any length count with all their words. An empty table gives
 an empty result. Columns with clashing names do no harm, as rows are carried in a struct.
 """
 
@@ -55,8 +55,8 @@ def capped_shares(sizes: dict, weights: dict, total: float, max_repeat: int) ->
 def min_cost_flow(patterns: dict, quotas: dict, max_repeat: int) -> dict:
     """Words sent from each pattern to each of its sources: {(pattern, source): words}.
 
-    ``patterns`` maps a pattern (tuple of sources) to its words. Successive shortest paths with
-    potentials; copy ``c`` of a pattern costs ``c`` per word. A path enters at a source with quota
+    ``patterns`` maps a pattern (tuple of sources) to its words. Successive shortest paths; no edge
+    has a negative cost, as words that a source gives back cost what they did; copy ``c`` of a pattern costs ``c`` per word. A path enters at a source with quota
     left, and may reroute words of patterns that other sources share.
     """
     flow: dict = {}

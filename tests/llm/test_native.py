@@ -229,3 +229,62 @@ def test_min_cost_flow_reroutes_shared_patterns():
         sent[p] += v
     assert sent == {("a",): 15, ("a", "b"): 10} or sent == {("a",): 10, ("a", "b"): 15}
     assert sum(mixing.min_cost_flow({("a",): 10}, {"a": 99}, 3).values()) == 30
+
+
+# the digest index over time
+
+
+def test_an_index_is_reopened(spark):
+    path = new_path(spark, "test-index")
+    batch = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert exact_dedup.DigestIndex(spark, path, 4).report(batch).filter("kept").count() == 200
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        later = batch.withColumn("doc_id", F.col("doc_id") + 1000)
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == 4 and again.unique(later).count() == 0
+        rows = again.report(later.unionByName(spark.createDataFrame([(5000, "new"), (5001, "n e w")], "doc_id long, text string"))).collect()
+        assert sorted(r.id for r in rows if r.kept) == [5001] and all(r.keep_id == r.id - 1000 for r in rows if r.id < 5000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    other = exact_dedup.DigestIndex(spark.newSession(), path)
+    assert other.rows().count() == 201 and other.rows().filter(F.col("digest") == F.unhex(F.sha2(F.lit("new"), 256))).count() == 1
+    with pytest.raises(ValueError, match="4 buckets, not 7"):
+        exact_dedup.DigestIndex(spark, path, 7)
+    other.close()
+    assert not spark.catalog.tableExists(other.table) and exact_dedup.DigestIndex(spark, path).rows().count() == 201
+
+
+def test_a_failed_append_and_a_second_writer(spark):
+    path = new_path(spark, "test-index")
+    batch = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    index, second = exact_dedup.DigestIndex(spark, path, 3), exact_dedup.DigestIndex(spark, path)
+    broken = spark.range(3).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.when(F.col("id") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("keep_chars"))
+    with pytest.raises(Exception, match="lost"):
+        index._append(broken)
+    assert index.rows().count() == 0
+    with index._writer(), pytest.raises(RuntimeError, match="another writer"):
+        second.report(batch)
+    assert [r.kept for r in second.report(batch).collect()] == [True, True]
+    assert sorted(r.doc_id for r in index.unique(batch.unionByName(spark.createDataFrame([(3, "c")], batch.schema))).collect()) == [1, 2, 3]
+
+
+def test_ids_beyond_doubles_beside_null(spark):
+    big = [2**53 + 1, 2**53 + 3, 2**63 - 1, None]
+    df = spark.createDataFrame([(i, f"same text {k // 2}") for k, i in enumerate(big)], "doc_id long, text string").coalesce(1)
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "test-index"))
+    assert sorted(((r.id or 0, r.keep_id) for r in index.report(df).collect())) == [(0, 2**63 - 1), (2**53 + 1, 2**53 + 1), (2**53 + 3, 2**53 + 1), (2**63 - 1, 2**63 - 1)]
+    assert {r.doc_id for r in pii.find_personal_data(df).collect()} == set(big)
+    assert {r.id for r in fingerprint.with_next(df, "doc_id", "text", 2, lambda d: fingerprint.with_fingerprint(d, F.col("text"), "print")).collect()} == set(big)
+    assert {r.id for r in mixing.mix(df, F.array(F.lit("a")), mixing.one_two_three).documents.collect()} == set(big)
+
+
+def test_sketches_of_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long, 5), (1, "a b", 6)], "_key long, text string, _words int").withColumn("_h", F.lit("x")).withColumn("_salt", F.lit(1))
+    rows = fingerprint.with_fingerprint(df, F.col("text"), "print")
+    assert [(len(r.print), r._words) for r in rows.orderBy("_words").collect()] == [(256, 5), (1, 6)]
+    merged = fingerprint.merge_parts(rows, "_key", "print").collect()
+    assert [(r._key, len(r.print)) for r in merged] == [(1, 256)]
+    assert rows.filter("_words = 5").select(fingerprint.distinct_shingles(F.col("print"))).head()[0] == pytest.approx(200_000, rel=0.25)
