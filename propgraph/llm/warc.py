@@ -1,20 +1,21 @@
 """WARC archives as a Python data source named ``warc``.
 
-Reading plans partitions from the archive's manifest, splitting files where the writer noted a
+Reading plans partitions from the archive's manifests, splitting files where the writer noted a
 record's offset; other archives get one partition a file, small files together. Predicates on
-record type, URI, digest and other headers are pushed down and tested on the header block, before
-the content is read; content of records that are not wanted, or that no column asks for, is skipped
-and not decoded. ``.warc`` files are skipped by seeking, ``.warc.gz`` ones (a member for each
+record type and on any header are tested on the header block, before the content is read; content of
+records that are not wanted, or that no column asks for, is skipped and not decoded. :func:`read_warc`
+hands predicates to the source with the relation that it loads, so each relation has its own. With the
+option ``pushdown`` Spark's filters on columns that stand for headers are taken as well. That is off
+unless asked for, because Spark 4.1 keeps one set of filters for all scans of a loaded relation: it is
+right for a relation that one query uses once, and loses records elsewhere. ``.warc`` files are skipped by seeking, ``.warc.gz`` ones (a member for each
 record) by inflating to nothing.
 
 Writing gives each task a file of its own under a fresh name; the driver's commit lists the files
-of successful tasks in ``_manifest.json``, and only those are read. So retried and speculative
-tasks leave no trace. Files are reached through pyarrow's file systems (file, hdfs, s3, gs).
-
-Load the archive anew for each query: Spark 4.1 keeps the filters of a relation's first query.
+of successful tasks in a manifest of its own, ``_manifest-*.json``, which appears by a rename, and only files
+in manifests are read. So retried and speculative tasks leave no trace, and appends do not meet. Files are reached through pyarrow's file systems (file, hdfs, s3, gs).
 
 Defined cases. A null payload is an empty one; null URIs, ids and dates give no header. Line breaks
-in header values are percent-encoded. Rows that repeat are records of their own; of pages with equal
+in header names and values, and colons in names, are percent-encoded. Rows that repeat are records of their own; of pages with equal
 id and payload all are responses if their id is the least. An empty table gives an archive
 without records. Records of any length are written and read whole. Columns of ``pages`` with other
 names are not read.
@@ -45,7 +46,7 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 #: Columns that come straight from a header.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 LENGTH = "X-Payload-Length"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 SPLIT = 64 << 20
 
 
@@ -68,7 +69,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)``; options: verify (true: check payload digests)."""
+    """``spark.read.format("warc").load(folder)``; options: verify (true: check payload digests), where (predicates
+    as JSON, see :func:`read_warc`), pushdown (true: take Spark's filters)."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,22 +80,26 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema, str(self.options.get("verify", "false")).lower() == "true")
+        given = lambda name: str(self.options.get(name, "false")).lower() == "true"
+        return WarcReader(self.options["path"], schema, given("verify"), json.loads(self.options.get("where", "{}")), given("pushdown"))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], overwrite, str(self.options.get("gzip", "true")).lower() == "true")
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, verify: bool):
-        self.path, self.columns, self.verify = path, schema.names, verify
+    def __init__(self, path: str, schema: StructType, verify: bool, where: dict, pushdown: bool):
+        self.path, self.columns, self.verify, self.pushdown = path, schema.names, verify, pushdown
         self.types = {c: pa.map_(pa.string(), pa.string()) if c == "headers" else pa.binary() if c == "payload" else pa.int64() if c == "payload_length" else pa.string() for c in schema.names}
-        self.tests: list[tuple] = []
+        self.tests: list[tuple] = [(name, "in", set(values)) for name, values in where.items()]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
+            if not self.pushdown:
+                yield f
+                continue
             column = f.attribute if hasattr(f, "attribute") else ()
-            name = HEADERS.get(column[0]) if len(column) == 1 else column[1] if len(column) == 2 and column[0] == "headers" else None
+            name = HEADERS.get(column[0]) if len(column) == 1 else None
             if name and isinstance(f, EqualTo):
                 self.tests.append((name, "in", {f.value}))
             elif name and isinstance(f, In):
@@ -105,10 +111,10 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         system, root = _open(self.path)
-        if (info := system.get_file_info(f"{root}/{MANIFEST}")).type == fs.FileType.File:
-            files = json.loads(system.open_input_stream(info.path).read())
+        found = system.get_file_info(fs.FileSelector(root)) if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
+        if manifests := [i.path for i in found if i.base_name.startswith(MANIFEST)]:
+            files = [f for path in manifests for f in json.loads(system.open_input_stream(path).read())]
         else:
-            found = system.get_file_info(fs.FileSelector(root)) if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
             files = [{"file": i.path, "size": i.size, "splits": []} for i in found if i.path.endswith((".warc", ".warc.gz"))]
         parts, small, size = [], [], 0
         for f in sorted(files, key=lambda f: f["file"]):
@@ -297,7 +303,7 @@ def record(row: dict) -> bytes:
         "Content-Type": "application/http; msgtype=response" if kind in ("response", "revisit") else "application/octet-stream",
         **dict(row.get("headers") or []), "Content-Length": len(block),
     }
-    text = "".join(f"{k}: {_clean(v)}\r\n" for k, v in head.items() if v is not None)
+    text = "".join(f"{_clean(k).replace(':', '%3A')}: {_clean(v)}\r\n" for k, v in head.items() if v is not None)
     return f"WARC/1.0\r\n{text}\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
@@ -332,11 +338,13 @@ class WarcWriter(DataSourceArrowWriter):
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
         files = [{"file": m.file, "size": m.size, "splits": m.splits} for m in messages if m and m.file]
-        info = system.get_file_info(f"{root}/{MANIFEST}")
-        if info.type == fs.FileType.File and not self.overwrite:
-            files = json.loads(system.open_input_stream(info.path).read()) + files
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+        older = [i.path for i in system.get_file_info(fs.FileSelector(root)) if i.base_name.startswith(MANIFEST)]
+        name = uuid.uuid4().hex
+        with system.open_output_stream(f"{root}/_draft-{name}") as out:
             out.write(json.dumps(files).encode())
+        system.move(f"{root}/_draft-{name}", f"{root}/{MANIFEST}{name}.json")
+        for path in older if self.overwrite else []:
+            system.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
@@ -347,11 +355,26 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session and lets Spark hand it filters."""
+    """Makes the format known to a session and lets Spark hand it filters, which it takes if asked to."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
+def read_warc(spark: SparkSession, path: str, record_types: list[str] | None = None, headers: dict[str, str | list[str]] | None = None, columns: list[str] | None = None, verify: bool = False) -> DataFrame:
+    """The records of an archive whose type is one of ``record_types`` and whose ``headers`` have (one of) the values given.
+
+    The source tests both on the header block and reads no other record's content; ``columns`` names
+    those of :data:`SCHEMA` that are wanted. Any number of queries may use the result.
+    """
+    register(spark)
+    wanted = {name: [value] if isinstance(value, str) else list(value) for name, value in (headers or {}).items()}
+    if record_types is not None:
+        wanted["WARC-Type"] = list(record_types)
+    kinds = dict(part.strip().split(" ", 1) for part in SCHEMA.split(", "))
+    reader = spark.read.format("warc").option("where", json.dumps(wanted)).option("verify", str(verify).lower())
+    return reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns or kinds)).load(path)
+
+
 def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, gzip: bool = True) -> None:
     """Writes a record for each page: of equal payloads of at least ``least_bytes`` the one with the
     least page_id is the response, the others revisit it."""
@@ -387,7 +410,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = spark.read.format("warc").option("verify", "true").load(path)
+    records = read_warc(spark, path, verify=True)
     return records.select(
         F.col("headers")["X-Page-Id"].cast("long").alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"),
         F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", F.col("headers")["X-Refers-To-Page-Id"].cast("long").alias("refers_to"),

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from propgraph.llm.warc import archive_pages, register, warc_query
+from propgraph.llm.warc import archive_pages, read_warc, register, warc_query
 
 
 def expected(pages, least=0):
@@ -55,10 +55,10 @@ def test_predicates_and_columns_are_pushed(spark, tmp_path, medium):
     path = str(tmp_path / "a")
     pages = spark.read.parquet(f"{medium}/pages.parquet")
     archive_pages(pages.unionByName(pages.limit(20).withColumn("page_id", F.col("page_id") + 100000)), path, gzip=False)
-    assert read(spark, path).filter("record_type = 'revisit'").count() == 20
+    assert read(spark, path, pushdown="true").filter("record_type = 'revisit'").count() == 20
 
     def slim():
-        return spark.read.format("warc").schema("record_type string, target_uri string").load(path)
+        return spark.read.format("warc").option("pushdown", "true").schema("record_type string, target_uri string").load(path)
 
     assert slim().filter("target_uri is not null and record_type in ('response')").count() == pages.count()
     # a file whose payloads are damaged can still be read for its headers, so payloads are not decoded
@@ -70,13 +70,27 @@ def test_predicates_and_columns_are_pushed(spark, tmp_path, medium):
         if name.endswith(".crc"):
             os.remove(f"{path}/{name}")
     assert slim().count() == pages.count() + 20
-    assert read(spark, path, verify="true").filter("record_type = 'revisit'").count() == 20  # responses are not decoded
+    assert read(spark, path, verify="true", pushdown="true").filter("record_type = 'revisit'").count() == 20  # responses are not decoded
+    assert read_warc(spark, path, ["revisit"], verify=True).count() == 20
+    page = str(read_warc(spark, path, ["revisit"]).head().headers["X-Page-Id"])
+    assert [r.record_type for r in read_warc(spark, path, headers={"x-page-id": page}, verify=True).collect()] == ["revisit"]
     one = slim().filter("target_uri is not null").head().target_uri
     assert read(spark, path).filter(F.col("target_uri") == one).count() == spark.read.parquet(f"{medium}/pages.parquet").filter(F.col("url") == one).count() + read(spark, path).filter(F.col("record_type") == "revisit").filter(F.col("target_uri") == one).count()
     with pytest.raises(Exception, match="does not have the digest"):
         read(spark, path, verify="true").collect()
 
 
+def test_one_relation_in_several_queries(spark, tmp_path):
+    path = str(tmp_path / "a")
+    archive_pages(spark.createDataFrame([(k, f"u{k}", f"page {k % 3}") for k in range(9)], "page_id long, url string, html string"), path)
+    for df in (read(spark, path), read_warc(spark, path)):
+        response, revisit = df.filter("record_type = 'response'"), df.filter("record_type = 'revisit'")
+        assert (response.count(), revisit.count(), df.count()) == (3, 6, 9)
+        assert response.unionByName(revisit).count() == 9 and response.crossJoin(revisit.select("record_id")).count() == 18
+    assert read_warc(spark, path, ["response"], columns=["target_uri"]).columns == ["target_uri"]
+    assert read_warc(spark, path, [], columns=["record_type"]).count() == 0
+
+
 def test_only_committed_files_are_read_and_foreign_archives(spark, tmp_path):
     path = tmp_path / "a"
     pages = spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string")
@@ -85,7 +99,9 @@ def test_only_committed_files_are_read_and_foreign_archives(spark, tmp_path):
     assert read(spark, str(path)).count() == 1
     archive_pages(pages, str(path))
     assert read(spark, str(path)).count() == 2
-    assert len(json.loads((path / "_manifest.json").read_text())) == 2
+    assert [len(json.loads(p.read_text())) for p in path.glob("_manifest-*.json")] == [1, 1] and not list(path.glob("_draft-*"))
+    pages.select(F.lit("resource").alias("record_type"), F.lit(b"x").alias("payload"), F.create_map(F.lit("A:\nB"), F.lit("c\nd")).alias("headers")).write.format("warc").mode("overwrite").save(str(path))
+    assert [(r.record_type, r.headers["A%3A%0AB"]) for r in read(spark, str(path)).collect()] == [("resource", "c%0Ad")]
     other = tmp_path / "b"
     other.mkdir()
     one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
