@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from propgraph.catalog.registry import query
 from propgraph.operators import ranking, sampling, sets, structure, traversal
-from propgraph.operators.components import connected_components
+from propgraph.operators.components import afforest, connected_components
 from propgraph.sources.tables import customer_edges as edges
 from propgraph.sources.tables import customer_nodes as nodes
-from propgraph.sources.tables import forward_edges, simple_edges, sparse_edges
+from propgraph.sources.tables import forward_edges, simple_edges
 
 ROUNDS = 10
 
@@ -73,9 +73,9 @@ def bfs(s, d):
     return traversal.bfs(edges(s, d), nodes(s, d), sets.of(s, [0]))
 
 
-@query("reachable", "SELECT id FROM r", "r AS (SELECT 0::BIGINT AS id UNION SELECT x.o FROM r JOIN (SELECT src AS i, tgt AS o FROM s) x ON x.i = r.id)", recursive=True)
+@query("reachable", "SELECT id FROM r", "r AS (SELECT 0::BIGINT AS id UNION SELECT e.tgt FROM r JOIN e ON e.src = r.id)", recursive=True)
 def reachable(s, d):
-    return traversal.reachable(sparse_edges(edges(s, d)), sets.of(s, [0]))
+    return traversal.reachable(edges(s, d), sets.of(s, [0]))
 
 
 SSSP = chained("SELECT 0::BIGINT AS id, 0.0::DOUBLE AS v",
@@ -92,16 +92,18 @@ def delta_stepping(s, d):
     return traversal.delta_stepping(edges(s, d), sets.of(s, [0]), 100000.0).select("id", F.round("dist", 4).alias("dist"))
 
 
-WCC = "r AS (SELECT id, id AS c FROM n UNION SELECT x.o, r.c FROM r JOIN (SELECT src AS i, tgt AS o FROM s UNION ALL SELECT tgt, src FROM s) x ON x.i = r.id WHERE r.c < x.o)"
+#: Labels sink along all edges; a round halves the way twice, so this many serve any component that the tables hold.
+WCC = chained("SELECT id, id AS c FROM n", "SELECT a.id, least(a.c, coalesce(min(b.c), a.c)) AS c FROM {p} a LEFT JOIN (SELECT src AS i, tgt AS o FROM u UNION ALL SELECT tgt, src FROM u) x ON x.i = a.id LEFT JOIN {p} b ON b.id = x.o GROUP BY a.id, a.c", 24, "SELECT id, c AS component FROM {p}")
 
 
-def _components(s, d):
-    found = connected_components(sparse_edges(edges(s, d)).select("src", F.col("tgt").alias("dst")))
+def _components(s, d, find=connected_components):
+    found = find(edges(s, d).select("src", F.col("tgt").alias("dst")))
     return nodes(s, d).select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-for name in ("wcc", "cc_afforest", "cc_hook_compress"):
-    query(name, "SELECT id, min(c) AS component FROM r GROUP BY id", WCC, recursive=True)(_components)
+for name in ("wcc", "cc_hook_compress"):
+    query(name, WCC[1], WCC[0])(_components)
+query("cc_afforest", WCC[1], WCC[0])(lambda s, d: _components(s, d, afforest))
 
 
 @query("island_detect", "SELECT id, min(c) AS component FROM r GROUP BY id",
@@ -125,7 +127,12 @@ query("k_core", CORE[1].replace("p20", "p4"), CORE[0].replace(">= 14", ">= 8"))(
 query("k_core_14", CORE[1], CORE[0])(lambda s, d: structure.k_core(simple(s, d), 14))
 
 
-@query("kcore_decomposition")
+CORES = chained("SELECT id, count(x.i) AS c FROM n LEFT JOIN (SELECT src AS i, tgt AS o FROM u UNION ALL SELECT tgt, src FROM u) x ON x.i = n.id GROUP BY id",
+                "SELECT n.id, coalesce(h.c, 0) AS c FROM n LEFT JOIN (SELECT i, max(least(c, r)) AS c FROM (SELECT x.i, y.c, row_number() OVER (PARTITION BY x.i ORDER BY y.c DESC) AS r FROM (SELECT src AS i, tgt AS o FROM u UNION ALL SELECT tgt, src FROM u) x JOIN {p} y ON y.id = x.o) GROUP BY i) h ON h.i = n.id",
+                40, "SELECT id, c::BIGINT AS core FROM {p}")
+
+
+@query("kcore_decomposition", CORES[1], CORES[0])
 def core_numbers(s, d):
     return structure.core_numbers(simple(s, d), nodes(s, d))
 
@@ -147,8 +154,12 @@ query("cosine", "SELECT a, b, shared, round(shared / (sqrt(ca) * sqrt(cb)), 8) A
     lambda s, d: structure.similarity(simple(s, d), simple(s, d).select(F.col("src").alias("a"), F.col("tgt").alias("b"))).select("a", "b", "shared", F.round("cosine", 8).alias("cosine")))
 
 
+#: Query nodes of the path counts: a fiftieth of all, against all edges.
+SOURCES = "id % 50 = 0"
+
+
 def _brandes_sql(depth):
-    ctes = ["de AS MATERIALIZED (SELECT DISTINCT src, tgt FROM e)", "f0 AS MATERIALIZED (SELECT id AS s, id, 0 AS l, 1.0::DOUBLE AS sg FROM n WHERE id < 3)"]
+    ctes = ["de AS MATERIALIZED (SELECT DISTINCT src, tgt FROM e)", "f0 AS MATERIALIZED (SELECT id AS s, id, 0 AS l, 1.0::DOUBLE AS sg FROM n WHERE id % 50 = 0)"]
     for i in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT s, id FROM f{j}" for j in range(i))
         ctes.append(f"f{i} AS MATERIALIZED (SELECT f.s, de.tgt AS id, {i} AS l, sum(f.sg) AS sg FROM f{i - 1} f JOIN de ON de.src = f.id WHERE (f.s, de.tgt) NOT IN (SELECT s, id FROM ({seen})) GROUP BY f.s, de.tgt)")
@@ -161,28 +172,40 @@ def _brandes_sql(depth):
 
 @query("betweenness", "SELECT n.id, round(coalesce(sum(dl), 0), 6) AS val FROM n LEFT JOIN bc ON bc.id = n.id AND bc.s <> bc.id GROUP BY n.id", _brandes_sql(9))
 def betweenness(s, d):
-    return traversal.betweenness(edges(s, d), nodes(s, d), nodes(s, d).filter("id < 3").select("id")).select("id", F.round("val", 6).alias("val"))
+    return traversal.betweenness(edges(s, d), nodes(s, d), nodes(s, d).filter(SOURCES).select("id")).select("id", F.round("val", 6).alias("val"))
 
 
 @query("brandes_forward", "SELECT s, id, l AS level, sg AS sigma FROM (" + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(10)) + ")", _brandes_sql(9))
 def brandes_forward(s, d):
-    return traversal.shortest_path_counts(edges(s, d), nodes(s, d).filter("id < 3").select("id"))
+    return traversal.shortest_path_counts(edges(s, d), nodes(s, d).filter(SOURCES).select("id"))
+
 
+def _boruvka_sql(rounds=8, jumps=12):
+    """Each component picks its least edge (w, src, tgt) to another; the picks are followed to their roots by doubling."""
+    ctes = ["es AS MATERIALIZED (SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt, min(w) AS w FROM e WHERE src <> tgt GROUP BY ALL)", "c0 AS MATERIALIZED (SELECT id, id AS c FROM n)"]
+    for i in range(rounds):
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT es.*, a.c AS ca, b.c AS cb FROM es JOIN c{i} a ON a.id = es.src JOIN c{i} b ON b.id = es.tgt WHERE a.c <> b.c)")
+        ctes.append(f"b{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY w, src, tgt) AS r FROM (SELECT ca AS c, cb AS o, w, src, tgt FROM l{i} UNION ALL SELECT cb, ca, w, src, tgt FROM l{i})) WHERE r = 1)")
+        ctes.append(f"j{i}_0 AS MATERIALIZED (SELECT x.c, CASE WHEN y.o = x.c AND x.c < x.o THEN x.c ELSE x.o END AS p FROM b{i} x JOIN b{i} y ON y.c = x.o)")
+        ctes += [f"j{i}_{j} AS MATERIALIZED (SELECT x.c, y.p FROM j{i}_{j - 1} x JOIN j{i}_{j - 1} y ON y.c = x.p)" for j in range(1, jumps)]
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT id, coalesce(p, a.c) AS c FROM c{i} a LEFT JOIN j{i}_{jumps - 1} j ON j.c = a.c)")
+    return ", ".join(ctes) + ", forest AS (" + " UNION ".join(f"SELECT src, tgt, w FROM b{i}" for i in range(rounds)) + ")"
 
-@query("mst")
+
+@query("mst", "SELECT src, tgt, w FROM forest", _boruvka_sql())
 def mst(s, d):
     return structure.spanning_forest(edges(s, d))
 
 
-@query("mst_weight")
+@query("mst_weight", "SELECT count(*) AS n_edges, round(sum(w), 2) AS weight FROM forest", _boruvka_sql())
 def mst_weight(s, d):
     return structure.spanning_forest(edges(s, d)).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w"), 2).alias("weight"))
 
 
 @query("toposort", "SELECT n.id, coalesce(max(l), 0)::INTEGER AS layer FROM n LEFT JOIN r ON r.id = n.id GROUP BY n.id",
-       "ds AS (SELECT DISTINCT src, tgt FROM e WHERE src < tgt AND k % 8 = 0), r AS (SELECT id, 0 AS l FROM n UNION SELECT ds.tgt, r.l + 1 FROM r JOIN ds ON ds.src = r.id)", recursive=True)
+       "ds AS (SELECT DISTINCT src, tgt FROM e WHERE src < tgt), r AS (SELECT id, 0 AS l FROM n UNION SELECT ds.tgt, r.l + 1 FROM r JOIN ds ON ds.src = r.id)", recursive=True)
 def toposort(s, d):
-    return traversal.topological_layers(forward_edges(edges(s, d).filter("k % 8 = 0")), nodes(s, d))
+    return traversal.topological_layers(forward_edges(edges(s, d)), nodes(s, d))
 
 
 def _sampled(i, layer):
@@ -213,13 +236,30 @@ def modularity(s, d):
     return structure.modularity(simple(s, d), nodes(s, d).select("id", F.col("nation").alias("label"))).select(F.round("modularity", 8).alias("modularity"))
 
 
-@query("louvain")
+def _louvain_sql(rounds=8):
+    ctes = ["x AS MATERIALIZED (SELECT src AS i, tgt AS o FROM u UNION ALL SELECT tgt, src FROM u)", "dg AS MATERIALIZED (SELECT i AS id, count(*) AS deg FROM x GROUP BY i)", "p0 AS MATERIALIZED (SELECT id, id AS label FROM n)"]
+    for k in range(rounds):
+        stay = f"(({sampling.mixed_sql(k // 2, 'a.id')}) + {k}) % 2 = 0"
+        ctes.append(f"""p{k + 1} AS MATERIALIZED (WITH t AS (SELECT label, sum(deg) AS tot FROM p{k} JOIN dg USING (id) GROUP BY label),
+m AS (SELECT x.i AS id, p.label, count(*) AS cnt FROM x JOIN p{k} p ON p.id = x.o GROUP BY ALL),
+g AS (SELECT m.id, m.label, round(m.cnt - dg.deg * (t.tot - CASE WHEN m.label = p.label THEN dg.deg ELSE 0 END)::DOUBLE / (SELECT count(*) FROM x)::DOUBLE, 9) AS score FROM m JOIN t USING (label) JOIN dg ON dg.id = m.id JOIN p{k} p ON p.id = m.id),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS r FROM g) WHERE r = 1)
+SELECT a.id, CASE WHEN b.id IS NULL OR {stay} OR b.score <= 0 THEN a.label ELSE b.label END AS label FROM p{k} a LEFT JOIN b ON b.id = a.id)""")
+    return ", ".join(ctes)
+
+
+@query("louvain", "SELECT id, label FROM p8", _louvain_sql())
 def louvain(s, d):
     return structure.louvain_level(simple(s, d), nodes(s, d))
 
 
-@query("graph_isomorphism", "SELECT TRUE AS same")
+@query("graph_isomorphism", "SELECT 'renamed' AS other, TRUE AS same UNION ALL SELECT 'one edge bent', FALSE")
 def isomorphism(s, d):
+    """The graph against itself with new names, and against itself with the end of its first edge moved to a new node."""
     e, n = simple(s, d), nodes(s, d).select("id")
     turn = lambda c: (F.lit(1_000_003) - F.col(c)).alias(c)
-    return structure.may_be_isomorphic((e, n), (e.select(turn("src"), turn("tgt")), n.select(turn("id"))))
+    renamed = structure.may_be_isomorphic((e, n), (e.select(turn("src"), turn("tgt")), n.select(turn("id"))))
+    first = F.broadcast(e.agg(F.min(F.struct("src", "tgt")).alias("f")).select(F.col("f.src").alias("a"), F.col("f.tgt").alias("b")))  # one row
+    bent = e.crossJoin(first).select("src", F.when((F.col("src") == F.col("a")) & (F.col("tgt") == F.col("b")), F.lit(-1)).otherwise(F.col("tgt")).alias("tgt"))
+    other = structure.may_be_isomorphic((e, n), (bent, n.unionByName(s.range(1).select(F.lit(-1).cast("long").alias("id")))))
+    return renamed.select(F.lit("renamed").alias("other"), "same").unionByName(other.select(F.lit("one edge bent").alias("other"), "same"))

@@ -1,7 +1,7 @@
 """Centralities by repeated products of the edges with a vector.
 
-The edges are staged once, with weights folded into one row for each pair, and every round is one
-join and one aggregation whose partial sums are made before the shuffle.
+The edges are written once, in buckets by the end that is joined, with weights folded into one row for each
+pair; a round shuffles the vector and partial sums, never the edges.
 """
 
 from __future__ import annotations
@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 
 from propgraph.operators.vectors import vxm
 from propgraph.plans.rounds import Rounds
-from propgraph.plans.staging import staged
+from propgraph.plans.staging import keyed, staged
+
+#: Rounds that run in one job where no change is measured between them.
+JOINED = 5
 
 
 def _folded(edges: DataFrame) -> DataFrame:
-    return staged(edges.groupBy("src", "tgt").agg(F.count(F.lit(1)).cast("double").alias("m")), "edges")
+    return keyed(edges.groupBy("src", "tgt").agg(F.count(F.lit(1)).cast("double").alias("m")), "src", "edges")
 
 
 def _iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, tolerance: float) -> DataFrame:
     """Applies ``step`` until the L1 change is below the tolerance, at most ``rounds`` times; with a
     tolerance of 0 no change is measured and no job runs between rounds but those that keep state."""
-    kept = Rounds("vector")
+    kept = Rounds("vector", every=1 if tolerance > 0 else JOINED)
     now = start
     for _ in range(rounds):
         new = kept.keep(step(now))
@@ -40,8 +43,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     folded = _folded(edges)
     n = nodes.count()
     degrees = folded.groupBy("src").agg(F.sum("m").alias("deg"))
-    share = staged(folded.join(degrees, "src").select("src", "tgt", (F.col("m") / F.col("deg")).alias("share")), "edges")
-    ids = staged(nodes.select("id"), "nodes")
+    share = keyed(folded.join(degrees, "src").select("src", "tgt", (F.col("m") / F.col("deg")).alias("share")), "src", "edges")
+    ids = keyed(nodes.select("id"), "id", "nodes")
     dangling = staged(ids.join(degrees.select(F.col("src").alias("id")), "id", "left_anti"), "nodes") if redistribute_dangling else None
 
     def step(p: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
 
 def katz(edges: DataFrame, nodes: DataFrame, alpha: float = 0.01, beta: float = 1.0, rounds: int = 10, tolerance: float = 0.0) -> DataFrame:
     """x' = alpha * A'x + beta from 1 / n."""
-    folded, ids = _folded(edges), staged(nodes.select("id"), "nodes")
+    folded, ids = _folded(edges), keyed(nodes.select("id"), "id", "nodes")
     n = ids.count()
 
     def step(x: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def _normed(vector: DataFrame) -> DataFrame:
 
 def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 10, tolerance: float = 0.0) -> DataFrame:
     """x' = A'x scaled to length 1, from 1 / sqrt(n)."""
-    folded, ids = _folded(edges), staged(nodes.select("id"), "nodes")
+    folded, ids = _folded(edges), keyed(nodes.select("id"), "id", "nodes")
     n = ids.count()
 
     def step(x: DataFrame) -> DataFrame:
@@ -86,8 +89,8 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 10, tolerance:
 
 def hits(edges: DataFrame, nodes: DataFrame, rounds: int = 10, tolerance: float = 0.0) -> DataFrame:
     """(id, hub, authority): a' = A'h and h' = A a', each scaled to length 1, from 1 / sqrt(n)."""
-    folded, ids = _folded(edges), staged(nodes.select("id"), "nodes")
-    turned = folded.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "m")
+    folded, ids = _folded(edges), keyed(nodes.select("id"), "id", "nodes")
+    turned = keyed(folded.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "m"), "src", "edges")
     first = F.lit(max(ids.count(), 1) ** -0.5)
     state, kept = ids.select("id", first.alias("hub"), first.alias("authority")), Rounds("hits")
 

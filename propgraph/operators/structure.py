@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from propgraph.operators.components import connected_components
+from propgraph.operators.sampling import mixed
 from propgraph.plans.rounds import Rounds
 from propgraph.plans.staging import staged
 
@@ -53,7 +54,7 @@ def edge_support(edges: DataFrame) -> DataFrame:
 
 def k_core(edges: DataFrame, k: int) -> DataFrame:
     """(id): the largest set in which every node has at least ``k`` neighbours."""
-    kept = Rounds("core")
+    kept = Rounds("core", forget=True)
     now = kept.keep(both_ways(edges))
     size = now.count()
     while True:
@@ -65,25 +66,27 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         size = left
 
 
-def core_numbers(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def core_numbers(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """(id, core): the largest k whose core holds the node, by repeated h-indices of the neighbours' values."""
     links = staged(both_ways(edges), "edges")
-    kept = Rounds("cores")
+    kept = Rounds("cores", forget=True)
     state = kept.keep(links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core")))
     for _ in range(max_rounds):
         near = links.join(state.select(F.col("id").alias("tgt"), F.col("core").alias("v")), "tgt").groupBy("src", "v").agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("src").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0))
         h = near.select("src", F.least("v", upto).alias("h")).groupBy(F.col("src").alias("id")).agg(F.max("h").alias("h"))
         new = kept.keep(state.join(h, "id").select("id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")))
+        state = new.drop("moved")
         if new.filter("moved").isEmpty():
             break
-        state = new.drop("moved")
+    else:
+        raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
     return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
 
 
 def k_truss(edges: DataFrame, k: int) -> DataFrame:
     """(src, tgt): the largest set of edges of which each lies in at least k - 2 triangles of the set."""
-    kept = Rounds("truss")
+    kept = Rounds("truss", forget=True)
     now = kept.keep(edges.select("src", "tgt"))
     size = now.count()
     while True:
@@ -169,7 +172,7 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFr
     links = staged(both_ways(edges), "edges")
     degrees = staged(links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg")), "degrees")
     total = float(max(1, links.count()))
-    kept = Rounds("louvain")
+    kept = Rounds("louvain", forget=True)
     state = kept.keep(nodes.select("id", F.col("id").alias("label")))
     for k in range(rounds):
         sums = state.join(degrees, "id").groupBy("label").agg(F.sum("deg").alias("tot"))
@@ -179,7 +182,7 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFr
         rest = F.col("tot") - F.when(F.col("label") == F.col("now"), F.col("deg")).otherwise(F.lit(0))
         score = F.round(F.col("into") - F.col("deg") * rest / total, 9)
         best = gain.groupBy("id").agg(F.max(F.struct(score.alias("score"), (-F.col("label")).alias("neg"))).alias("b"))
-        stay = F.pmod(F.xxhash64("id", F.lit(k // 2)) + k, F.lit(2)) == 0
+        stay = F.pmod(mixed(k // 2, F.col("id")) + k, F.lit(2)) == 0
         state = kept.keep(state.join(best, "id", "left").select("id", F.when(F.col("b").isNull() | stay | (F.col("b.score") <= 0), F.col("label")).otherwise(-F.col("b.neg")).alias("label")))
     return state
 

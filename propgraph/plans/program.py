@@ -42,7 +42,7 @@ def assemble(text: str) -> Program:
     """Reads a text; directives ``.relation "name" = 0`` name what REL_0 stands for."""
     out, labels, names = [], {}, {}
     for raw in text.splitlines():
-        line = re.sub(r";.*", "", raw).strip()
+        line = re.sub(r'((?:[^";]|"[^"]*")*).*', r"\1", raw).strip()  # a semicolon outside quotes begins a comment
         if not line:
             continue
         if m := re.fullmatch(r'\.(domain|relation|attribute)\s+"([^"]+)"\s*=\s*(\d+)', line):
@@ -54,7 +54,7 @@ def assemble(text: str) -> Program:
             line = line[m.end() :]
         if line:
             op, _, rest = line.partition(" ")
-            args = [a.strip() for a in rest.split(",") if a.strip()]
+            args = [a.strip() for a in re.findall(r'(?:[^",]|"[^"]*")+', rest) if a.strip()]
             flags = {a for a in args if a.upper() in FLAGS}
             out.append(Instruction(op.upper().removeprefix("OP_"), [a for a in args if a not in flags], {f.upper() for f in flags}))
     return Program(out, labels, names)

@@ -11,10 +11,14 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
+#: Paths of staged tables, by the identity of their DataFrame while it lives.
+_PATHS: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +49,28 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def keyed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """``df`` written once in buckets by ``key``, sorted in each: joins and sums on the key shuffle only their other side."""
+    spark = df.sparkSession
+    path, buckets = new_path(spark, tag), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"propgraph_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key).write.option("compression", "zstd").option("path", path)
+    rows.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    _TABLES.append((spark, name))
+    return spark.table(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a staged table that nothing will read again."""
+    if (path := _PATHS.pop(id(df), None)) is not None:
+        remove(df.sparkSession, path)
+        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -57,6 +82,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for spark, name in _TABLES:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _WRITTEN:
         with contextlib.suppress(Exception):  # the session may be gone already
             remove(spark, path)

@@ -30,11 +30,6 @@ def simple_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).distinct()
 
 
-def sparse_edges(edges: DataFrame) -> DataFrame:
-    """Simple edges of every eighth order: many components."""
-    return simple_edges(edges.filter("k % 8 = 0"))
-
-
 def forward_edges(edges: DataFrame) -> DataFrame:
     """Distinct edges to larger ids: without cycles."""
     return edges.filter("src < tgt").select("src", "tgt").distinct()
