@@ -92,7 +92,7 @@ def delta_stepping(s, d):
     return traversal.delta_stepping(edges(s, d), sets.of(s, [0]), 100000.0).select("id", F.round("dist", 4).alias("dist"))
 
 
-#: Labels sink along all edges; a round halves the way twice, so this many serve any component that the tables hold.
+#: Labels sink along all edges, a step a round: enough for components whose nodes are at most 24 steps from their least.
 WCC = chained("SELECT id, id AS c FROM n", "SELECT a.id, least(a.c, coalesce(min(b.c), a.c)) AS c FROM {p} a LEFT JOIN (SELECT src AS i, tgt AS o FROM u UNION ALL SELECT tgt, src FROM u) x ON x.i = a.id LEFT JOIN {p} b ON b.id = x.o GROUP BY a.id, a.c", 24, "SELECT id, c AS component FROM {p}")
 
 
