@@ -9,6 +9,10 @@ from propgraph.functions import statistics as stats
 from propgraph.sources.tables import customer_edges, customer_nodes, order_graph
 
 
+#: Ranks that percentiles tell apart: exact up to so many values, in error by a share of one in so many beyond.
+ACCURACY = 200_000
+
+
 def supplied(s, d):
     return order_graph(s, d).edges("supplied_by")
 
@@ -59,9 +63,10 @@ def stats_monotonicity(s, d):
     return stats.monotonicity(supplied(s, d), "quantity")
 
 
-@query("stats_degree_sketch")
+@query("stats_degree_sketch", "SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY c)::BIGINT AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY c)::BIGINT AS p90, percentile_disc(0.99) WITHIN GROUP (ORDER BY c)::BIGINT AS p99 FROM (SELECT count(*) AS c FROM e GROUP BY src)")
 def stats_degree_sketch(s, d):
-    return stats.degree_sketch(customer_edges(s, d), [0.5, 0.9, 0.99]).select(F.concat_ws(",", F.col("percentiles").cast("array<string>")).alias("percentiles"))
+    p = F.col("percentiles")
+    return stats.degree_sketch(customer_edges(s, d), [0.5, 0.9, 0.99], ACCURACY).select(p[0].alias("p50"), p[1].alias("p90"), p[2].alias("p99"))
 
 
 @plain("stats_hll", "SELECT TRUE AS within_tenth")
@@ -71,6 +76,22 @@ def stats_hll(s, d):
     return both.select((F.abs(F.col("distinct_estimate") - F.col("exact")) <= 0.1 * F.col("exact")).alias("within_tenth"))
 
 
-@plain("stats_histogram", "SELECT sum(1)::BIGINT AS values, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem")
+CUTS = ", ".join(f"percentile_disc({i}.0 / 20) WITHIN GROUP (ORDER BY l_extendedprice) AS c{i}" for i in range(1, 20))
+
+
+@plain("stats_histogram", f"SELECT bucket::INTEGER AS bucket, min(v) AS low, max(v) AS high, count(*) AS n, (SELECT count(*) FROM lineitem WHERE l_extendedprice IS NULL) AS nulls FROM (SELECT l_extendedprice AS v, {' + '.join(f'(l_extendedprice > c{i})::INTEGER' for i in range(1, 20))} AS bucket FROM lineitem, (SELECT {CUTS} FROM lineitem)) WHERE v IS NOT NULL GROUP BY bucket")
 def stats_histogram(s, d):
-    return stats.equi_depth(supplied(s, d), "quantity").agg(F.sum("n").alias("values"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return stats.equi_depth(supplied(s, d), "price", accuracy=ACCURACY)
+
+
+@plain("stats_sketch_keys", "SELECT 'stats.relation.supplied_by.out_degree' AS key, count(DISTINCT l_partkey) AS distinct_count, count(DISTINCT l_partkey) AS rows FROM lineitem UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'stats.relation.supplied_by.attribute.{a}', count(DISTINCT l_{c}), count(*) FROM lineitem" for a, c in (("discount", "discount"), ("line", "linenumber"), ("price", "extendedprice"), ("quantity", "quantity"))))
+def stats_sketch_keys(s, d):
+    g = order_graph(s, d)
+    g.relations = {"supplied_by": g.relation("supplied_by")}
+    found = stats.sketches(g)
+    exact = supplied(s, d).agg(F.countDistinct("src").alias("out_degree"), *[F.countDistinct(c).alias(c) for c in ("discount", "line", "price", "quantity")])
+    names = exact.select(F.explode(F.create_map(*[x for c in exact.columns for x in (F.lit(c), F.col(c))])).alias("name", "distinct_count"))
+    # the estimate stands for the exact number where it is within a tenth of it
+    near = found.withColumn("name", F.element_at(F.split("key", r"\."), -1)).join(names, "name").filter(F.abs(F.col("estimate") - F.col("distinct_count")) <= 0.1 * F.col("distinct_count"))
+    return near.select("key", "distinct_count", "rows")

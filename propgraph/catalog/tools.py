@@ -23,18 +23,40 @@ def counts(edges):
     return edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("src") == F.col("tgt")).alias("loops"), F.min(F.least("src", "tgt")).alias("least"))
 
 
-plain("gen_er", "SELECT 2500::BIGINT AS edges, 0::BIGINT AS loops, TRUE AS inside")(
-    lambda s, d: counts(generate.erdos_renyi(s, 400, 2500)).select("edges", "loops", (F.col("least") >= 0).alias("inside")))
-plain("gen_ba", "SELECT 5958::BIGINT AS edges, 0::BIGINT AS loops")(lambda s, d: counts(generate.preferential(s, 500, 6, True)).select("edges", "loops"))
-plain("gen_bipartite", "SELECT 1500::BIGINT AS edges")(lambda s, d: counts(generate.bipartite(s, 250, 350, 1500)).select("edges"))
-query("gen_graph500")(lambda s, d: generate.graph500(s, 10, 16))
-query("gen_sbm")(lambda s, d: generate.block_model(s, 300, 5, 0.05, 0.001))
-plain("gen_attributes", "SELECT TRUE AS weights, TRUE AS times, TRUE AS types, 500::BIGINT AS edges")(lambda s, d: _attributes(s))
+def below(n, *values):
+    """The SQL of :func:`propgraph.sources.generate.below` with the seed that all generators have."""
+    return f"least(floor({generate.uniform_sql(42, *values)} * {n}), {n - 1})::BIGINT"
 
 
-def _attributes(s):
-    e = generate.with_attributes(generate.erdos_renyi(s, 100, 500), "weight:f32,timestamp:i64,type:i32")
-    return e.agg(F.expr("bool_and(weight between 0.009 and 100.01)").alias("weights"), F.expr("bool_and(timestamp between 1700000000 and 1710000000)").alias("times"), F.expr("bool_and(type between 0 and 9)").alias("types"), F.count(F.lit(1)).alias("edges"))
+ER = f"SELECT src, (src + 1 + {below(399, 'id', 2)}) % 400 AS tgt FROM (SELECT id, {below(400, 'id', 1)} AS src FROM range(2500) t(id))"
+plain("gen_er", ER)(lambda s, d: generate.erdos_renyi(s, 400, 2500))
+plain("gen_ba", "SELECT 5958::BIGINT AS edges, 0::BIGINT AS loops")(lambda s, d: counts(generate.preferential(s, 500, 6, True)).select("edges", "loops"))
+plain("gen_bipartite", f"SELECT {below(250, 'id', 1)} AS src, {below(350, 'id', 2)} AS tgt FROM range(1500) t(id)")(lambda s, d: generate.bipartite(s, 250, 350, 1500))
+#: The quadrant of each of the ten bits of both ends: a, b, c and d take .57, .19, .19 and .05.
+RMAT = f"""SELECT * FROM (SELECT sum(CASE WHEN r >= 0.57::DOUBLE + 0.19::DOUBLE THEN 1 ELSE 0 END * (1 << (10 - level)))::BIGINT AS src,
+sum(CASE WHEN (r >= 0.57::DOUBLE AND r < 0.57::DOUBLE + 0.19::DOUBLE) OR r >= 0.57::DOUBLE + 0.19::DOUBLE + 0.19::DOUBLE THEN 1 ELSE 0 END * (1 << (10 - level)))::BIGINT AS tgt
+FROM (SELECT id, level::INTEGER AS level, {generate.uniform_sql(42, 'id', 'level')} AS r FROM range(16384) a(id), range(1, 11) b(level)) GROUP BY id) WHERE src <> tgt"""
+plain("gen_graph500", RMAT)(lambda s, d: generate.graph500(s, 10, 16))
+
+
+def _sbm_sql(nodes=300, groups=5, p_in=0.05, p_out=0.001):
+    """Edges of a source lie at running sums of geometric gaps among the nodes of its own group, and among the others."""
+    parts = []
+    for inner, p, draws in ((1, p_in, 120), (0, p_out, 60)):
+        same = f"((({nodes - 1} - id % {groups}) // {groups}) + 1)"
+        size = same if inner else f"({nodes} - {same})"
+        gap = f"floor(ln(1 - {generate.uniform_sql(42, inner, 'id', 'k')}) / ln(1 - {p}::DOUBLE)) + 1"
+        nth = f"SELECT id, id % {groups} AS own, sum({gap}) OVER (PARTITION BY id ORDER BY k)::BIGINT - 1 AS nth, {size} AS size FROM range({nodes}) a(id), range(1, {draws + 1}) b(k)"
+        tgt = f"nth * {groups} + own" if inner else f"nth // {groups - 1} * {groups} + nth % {groups - 1} + (nth % {groups - 1} >= own)::BIGINT"
+        parts.append(f"SELECT id AS src, {tgt} AS tgt FROM ({nth}) WHERE nth < size")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE src <> tgt AND tgt < {nodes}"
+
+
+plain("gen_sbm", _sbm_sql())(lambda s, d: generate.block_model(s, 300, 5, 0.05, 0.001))
+DRAWN = ", ".join(f"{generate.uniform_sql(43, 'src', 'tgt', 'nth', k)} AS u{k}" for k in range(3))
+plain("gen_attributes", f"""SELECT src, tgt, round((u0 * 99.99::DOUBLE + 0.01::DOUBLE)::FLOAT::DOUBLE, 3) AS weight, floor(u1 * 10000000)::BIGINT + 1700000000 AS timestamp, floor(u2 * 10)::INTEGER AS type
+FROM (SELECT src, tgt, {DRAWN} FROM (SELECT src, tgt, row_number() OVER (PARTITION BY src, tgt) AS nth FROM ({ER.replace('400', '100').replace('399', '99').replace('2500', '500')})))""")(
+    lambda s, d: generate.with_attributes(generate.erdos_renyi(s, 100, 500), "weight:f32,timestamp:i64,type:i32").withColumn("weight", F.round(F.col("weight").cast("double"), 3)))
 
 
 MANIFEST = {
@@ -129,10 +151,10 @@ def rcm(s, d):
     return before.crossJoin(after).crossJoin(tidy.agg(F.countDistinct("new_id").alias("nodes"))).select(((F.col("a") < F.col("b")) & (F.col("a") <= 2 * math.isqrt(400))).alias("smaller"), "nodes")
 
 
-@plain("content_digest", "SELECT count(*) AS rows, TRUE AS same, FALSE AS after_change FROM nation")
+@plain("content_digest", "SELECT count(*) AS rows, TRUE AS same, FALSE AS after_change FROM orders")
 def content_digest(s, d):
-    n = s.read.parquet(f"{d}/nation.parquet")
+    n = s.read.parquet(f"{d}/orders.parquet")
     a = maintenance.content_digest(n).withColumnRenamed("digest", "a")
-    b = maintenance.content_digest(n.orderBy(F.desc("n_name"))).select(F.col("digest").alias("b"))
-    c = maintenance.content_digest(n.withColumn("n_name", F.concat("n_name", F.lit("x")))).select(F.col("digest").alias("c"))
+    b = maintenance.content_digest(n.orderBy(F.desc("o_totalprice"))).select(F.col("digest").alias("b"))
+    c = maintenance.content_digest(n.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == 1, F.lit("x")).otherwise(F.col("o_orderstatus")))).select(F.col("digest").alias("c"))
     return a.crossJoin(b).crossJoin(c).select("rows", (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("after_change"))

@@ -77,10 +77,31 @@ def distinct_estimate(edges: DataFrame, attribute: str, precision: int = 10) ->
     return edges.agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(attribute).cast("string"), precision)).alias("distinct_estimate"))
 
 
-def equi_depth(edges: DataFrame, attribute: str, buckets: int = 20) -> DataFrame:
-    """(bucket, low, high, n): buckets of about equal numbers of values, by approximate percentiles."""
+def equi_depth(edges: DataFrame, attribute: str, buckets: int = 20, accuracy: int = 10_000) -> DataFrame:
+    """(bucket, low, high, n, nulls): buckets of about equal numbers of values, by approximate percentiles; nulls of all."""
     value = without_markers(attribute, dict(edges.dtypes)[attribute])
-    rows = edges.select(value.alias("v")).filter("v is not null")
-    cuts = rows.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000)).head()[0] or []
+    every = edges.select(value.alias("v"))
+    rows, nulls = every.filter("v is not null"), every.agg(F.count_if(F.col("v").isNull()).alias("nulls"))
+    cuts = rows.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], accuracy).alias("cuts")).head()[0] or []
     at = sum([(F.col("v") > c).cast("int") for c in cuts], F.lit(0))
-    return rows.groupBy(at.alias("bucket")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(at.alias("bucket")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(nulls))  # one row
+
+
+def zone_map_text(edges: DataFrame, attribute: str) -> str:
+    """The zone map as a line of text: with decimals if either bound has a fraction, as whole numbers if not."""
+    low, high, nulls, distinct, _ = zone_map(edges, attribute).head()
+    shown = [None if v is None else f"{float(v):.6f}" if float(low) % 1 or float(high) % 1 else str(int(v)) for v in (low, high)]
+    return f"{attribute}: min {shown[0]}, max {shown[1]}, nulls {nulls}, distinct {distinct}"
+
+
+def sketches(graph, precision: int = 12) -> DataFrame:
+    """(key, rows, estimate, sketch): a HyperLogLog sketch for the sources and for each attribute of each relation,
+    under ``stats.relation.<name>.out_degree`` and ``stats.relation.<name>.attribute.<attribute>``; sketches of parts merge."""
+    out = None
+    for r in graph.relations.values():
+        columns = [("out_degree", F.col("src"), F.countDistinct("src"))] + [(f"attribute.{c}", F.col(c), F.count(F.lit(1))) for c in r.edges.columns if c not in ("src", "tgt")]
+        for name, column, rows in columns:
+            one = r.edges.agg(rows.alias("rows"), F.hll_sketch_agg(column.cast("string"), precision).alias("sketch"))
+            one = one.select(F.lit(f"stats.relation.{r.name}.{name}").alias("key"), "rows", F.hll_sketch_estimate("sketch").alias("estimate"), "sketch")
+            out = one if out is None else out.unionByName(one)
+    return out

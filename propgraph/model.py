@@ -79,7 +79,10 @@ class PropertyGraph:
         about = {
             "format": 1,
             "domains": [{"name": d.name, "key_type": d.key_type} for d in self.domains.values()],
-            "relations": [{"name": r.name, "src_domain": r.source, "tgt_domain": r.target} for r in self.relations.values()],
+            "relations": [{
+                "name": r.name, "src_domain": r.source, "tgt_domain": r.target, "edge_count": self.spark.read.parquet(f"{path}/relations/{r.name}").count(),
+                "attributes": [c for c in r.edges.columns if c not in ("src", "tgt")],
+            } for r in self.relations.values()],
         }
         self.spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/catalog")
 

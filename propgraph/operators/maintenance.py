@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from propgraph.model import PropertyGraph
@@ -42,6 +43,23 @@ def validate(graph: PropertyGraph) -> DataFrame:
     return out.filter("violations > 0")
 
 
+def validate_saved(spark: SparkSession, path: str) -> DataFrame:
+    """(relation, check, violations) of a saved graph: what :func:`validate` finds, and for each relation the
+    difference from the edge count of the catalog, attributes that are missing, and rows out of (src, tgt) order in their file."""
+    about = json.loads(spark.read.text(f"{path}/catalog").head().value)
+    out = validate(PropertyGraph.load(spark, path))
+    for r in about["relations"]:
+        edges = spark.read.parquet(f"{path}/relations/{r['name']}")
+        named = lambda check, count, name=r["name"]: count.select(F.lit(name).alias("relation"), F.lit(check).alias("check"), F.col("violations").cast("long").alias("violations"))
+        out = out.unionByName(named("edge count", edges.agg(F.abs(F.count(F.lit(1)) - F.lit(r["edge_count"])).alias("violations"))))
+        lost = [a for a in r["attributes"] if a not in edges.columns]
+        out = out.unionByName(spark.createDataFrame([(r["name"], "missing attributes", len(lost))], "relation string, check string, violations long"))
+        rows = edges.select("src", "tgt", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        before = F.lag(F.struct("src", "tgt")).over(Window.partitionBy("file").orderBy("at"))
+        out = out.unionByName(named("out of order", rows.select((before > F.struct("src", "tgt")).alias("bad")).agg(F.count_if("bad").alias("violations"))))
+    return out.filter("violations > 0")
+
+
 def diff_counts(base: PropertyGraph, target: PropertyGraph) -> DataFrame:
     """(relation, base_edges, target_edges, delta) over the relations of both."""
     a = base.describe_relations().select("relation", F.col("edge_count").alias("base_edges"))

@@ -18,8 +18,8 @@ from propgraph.model import PropertyGraph
 from propgraph.operators import ranking, sampling, sets, structure, traversal, vectors, walk
 from propgraph.operators.components import connected_components
 
-LAYOUT = {"HAS_CSR": 1, "HAS_CSC": 1, "HAS_COO": 1, "HAS_DENSE": 0, "HAS_KEY_CATALOG": 1}
-IGNORED = {"NOP", "CREATE_SCRATCH_INDEX", "DROP_SCRATCH_INDEX", "ALLOC_SCRATCH", "ASSERT_SCRATCH_BYTES", "SET_MAX_DOP", "ENTER_FRAME", "LEAVE_FRAME"}
+PROBES = {"HAS_CSR", "HAS_CSC", "HAS_COO", "HAS_DENSE", "HAS_KEY_CATALOG"}
+IGNORED = {"NOP", "CREATE_SCRATCH_INDEX", "DROP_SCRATCH_INDEX", "ALLOC_SCRATCH", "ASSERT_SCRATCH_BYTES", "SET_MAX_DOP"}
 FLAGS = {"BITSET", "ACCUMULATE", "INVERT", "OFFHEAP"}
 CALL_DEPTH = 8
 
@@ -74,6 +74,7 @@ class Machine:
     def __init__(self, graph: PropertyGraph, max_steps: int = 100_000):
         self.graph, self.max_steps = graph, max_steps
         self.registers: dict[int, object] = {}
+        self.frames: list[dict[int, object]] = []
 
     # operands
     def _register(self, name: str) -> int:
@@ -141,10 +142,26 @@ class Machine:
             elif i.op == "ASSERT":
                 if self._zero(i.args[0]):
                     raise AssertionError(" ".join(i.args))
+            elif i.op == "ENTER_FRAME":
+                self.frames.append(dict(self.registers))
+            elif i.op == "LEAVE_FRAME":  # R0 and R63, the input and the result, stay as they are
+                if not self.frames:
+                    raise RuntimeError("LEAVE_FRAME without ENTER_FRAME")
+                now = {k: v for k, v in self.registers.items() if k in (0, 63)}
+                self.registers = {k: v for k, v in self.frames.pop().items() if k not in (0, 63)} | now
             elif i.op not in IGNORED:
                 self._step(i)
         raise RuntimeError(f"more than {self.max_steps} steps")
 
+    def _has(self, op: str, a: list[str]) -> int:
+        """1 if the relation (or any, if none is named) can be walked so, or the domain has keys of its own; no relation is dense."""
+        names = [self.program.names.get(x, x).lower() for x in a]
+        if op == "HAS_KEY_CATALOG":
+            found = [d for d in self.graph.domains.values() if (not names or d.name.lower() in names) and d.key_type != "int64"]
+        else:
+            found = [r for r in self.graph.relations.values() if op != "HAS_DENSE" and (not names or r.name.lower() in names)]
+        return int(bool(found))
+
     def _zero(self, name: str) -> bool:
         value = self._get(name)
         return value.isEmpty() if isinstance(value, DataFrame) else not value
@@ -163,14 +180,16 @@ class Machine:
 
     def _result(self, op: str, a: list[str]):
         g = self.graph
-        if op in LAYOUT:
-            return LAYOUT[op]
+        if op in PROBES:
+            return self._has(op, a)
         if op in ("INIT_INPUT_NODE", "INIT_INPUT_SET", "LOAD_INLINE_ARRAY"):
             return sets.of(g.spark, [self._get(x) for x in a]) if len(a) > 1 else self._set(a[0] if a and a[0] != "0" or not a else "R0")
         if op in ("LOAD_CONST_INT", "LOAD_CONST_FLOAT", "LOAD_CONST_STR_PREFIX"):
             return self._literal(a[0])
-        if op in ("MOV", "MOVE", "COLLECT_BITSET", "LOAD_INDIRECT"):
+        if op in ("MOV", "MOVE", "COLLECT_BITSET"):
             return self._get(a[0])
+        if op == "LOAD_INDIRECT":  # the register whose number the operand holds
+            return self._get(f"R{int(self._get(a[0]))}")
         if op == "CLEAR_REG":
             return 0
         if op in ("CSR_WALK", "DENSE_WALK"):

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from propgraph.model import PropertyGraph
@@ -157,3 +157,10 @@ def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors").load(path).select("path", "content")
     return files.mapInPandas(parse, "file string, name string, dtype string, shape array<long>, nbytes long")
+
+
+def tensor_domain(spark: SparkSession, path: str, name: str) -> PropertyGraph:
+    """A graph with a node for each tensor, in the order of files and names, and no relation."""
+    rows = tensor_headers(spark, path).select(F.concat_ws("/", F.element_at(F.split("file", "/"), -1), "name").alias("key"), "dtype", "shape", "nbytes", F.col("file"))
+    ids = dense_ids(rows.select("key", F.lit(0).alias("file"), F.row_number().over(Window.orderBy("file", "key")).alias("row")))  # a row per tensor of a model
+    return PropertyGraph(spark).add_domain(name, rows.drop("file").join(ids, "key"), "string")

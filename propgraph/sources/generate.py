@@ -20,9 +20,14 @@ MAX_SEQUENTIAL = 5_000_000
 
 
 def uniform(seed: int, *columns: Column | int) -> Column:
-    """In [0, 1), from 53 bits of a hash."""
-    parts = [F.lit(c) if isinstance(c, int) else c for c in columns]
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) / F.lit(float(1 << 53))
+    """In [0, 1), from 52 bits of a hash that any SQL engine has, see :func:`uniform_sql`."""
+    parts = [F.lit(str(c)) if isinstance(c, int) else c.cast("string") for c in (seed, *columns)]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def uniform_sql(seed: int, *columns: str | int) -> str:
+    """The SQL of :func:`uniform`."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(map(str, (seed, *columns)))})), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE)"
 
 
 def below(seed: int, n: int, *columns: Column | int) -> Column:
@@ -42,7 +47,7 @@ def graph500(spark: SparkSession, scale: int = 10, edge_factor: int = 16, edges:
     rows = spark.range(edges if edges is not None else (1 << scale) * edge_factor)
 
     def bit(acc: Column, level: Column) -> Column:
-        r = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), level), 11) / F.lit(float(1 << 53))
+        r = uniform(seed, F.col("id"), level)
         down, right = (r >= a + b).cast("long"), (((r >= a) & (r < a + b)) | (r >= a + b + c)).cast("long")
         return F.struct((acc["u"] * 2 + down).alias("u"), (acc["v"] * 2 + right).alias("v"))
 
@@ -86,7 +91,7 @@ def block_model(spark: SparkSession, nodes: int = 5000, communities: int = 10, p
         most = F.greatest(F.lit(1), F.ceil(size * p + 12 * F.sqrt(size * p) + 40)).cast("int")
 
         def jump(acc: Column, k: Column) -> Column:
-            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(inner), F.col("id"), k), 11) / F.lit(float(1 << 53))
+            u = uniform(seed, int(inner), F.col("id"), k)
             step = F.lit(1) if p >= 1 else (F.floor(F.log(1 - u) / F.log(F.lit(1 - p))) + 1)
             at = acc["at"] + step.cast("long")
             return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))

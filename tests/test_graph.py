@@ -161,6 +161,9 @@ def test_tensor_headers(spark, tmp_path):
     (tmp_path / "m.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + b"\0" * 24)
     rows = files.tensor_headers(spark, str(tmp_path)).collect()
     assert [(r.name, r.dtype, list(r.shape), r.nbytes) for r in rows] == [("a", "F32", [2, 3], 24)]
+    (tmp_path / "n.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + b"\0" * 24)
+    g = files.tensor_domain(spark, str(tmp_path), "tensor")
+    assert values(g.nodes("tensor"), "id", "key", "nbytes") == [(0, "m.safetensors/a", 24), (1, "n.safetensors/a", 24)] and not g.relations
 
 
 #: Sets that a set opens are closed upwards first; a person opens what any of the sets opens that they are in.
@@ -366,3 +369,47 @@ def test_rounds_leave_little_behind_and_edges_stay(spark):
     for k, line in enumerate(lines):
         if "share#" in line and "FileScan" in line:
             assert not any("Exchange" in x for x in lines[max(0, k - 4) : k]), plan
+
+
+def test_frames_indirection_and_probes(spark):
+    g = PropertyGraph(spark).add_domain("v", spark.range(5)).add_relation("follows", "v", "v", edges(spark, [(0, 1)]))
+    run = lambda text: program.Machine(g).run(text, 0)
+    assert run("OP_LOAD_CONST_INT R1, 5\nOP_ENTER_FRAME\nOP_LOAD_CONST_INT R1, 9\nOP_MOV R63, R1\nOP_LEAVE_FRAME\nOP_LOAD_INDIRECT R63, R2\nOP_HALT".replace("OP_ENTER", "OP_LOAD_CONST_INT R2, 1\nOP_ENTER")) == 5
+    assert run("OP_LOAD_CONST_INT R1, 5\nOP_ENTER_FRAME\nOP_LOAD_CONST_INT R1, 9\nOP_MOV R63, R1\nOP_LEAVE_FRAME\nOP_HALT") == 9
+    with pytest.raises(RuntimeError, match="without"):
+        run("OP_LEAVE_FRAME")
+    assert [run(f"OP_{p} R63, {r}\nOP_HALT") for p, r in (("HAS_CSR", "follows"), ("HAS_CSR", "other"), ("HAS_DENSE", "follows"), ("HAS_KEY_CATALOG", "v"))] == [1, 0, 0, 0]
+
+
+def test_saved_graphs_are_checked(spark, tmp_path):
+    path = str(tmp_path / "g")
+    g = PropertyGraph(spark).add_domain("v", spark.range(50)).add_relation("follows", "v", "v", edges(spark, [(k, (7 * k) % 50) for k in range(50)], [1] * 50))
+    g.save(path)
+    assert maintenance.validate_saved(spark, path).count() == 0
+    edges(spark, [(5, 1), (3, 2), (9, 99)]).coalesce(1).write.mode("overwrite").parquet(f"{path}/relations/follows")
+    assert values(maintenance.validate_saved(spark, path), "relation", "check", "violations") == [("follows", "edge count", 47), ("follows", "missing attributes", 1), ("follows", "out of order", 1), ("follows", "tgt out of range", 1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from propgraph.__main__ import main
+
+    (tmp_path / "members.tsv").write_text("alice eng\nbob eng\nbob ops\n")
+    (tmp_path / "m.json").write_text(json.dumps({"domains": [{"id": 0, "name": "User", "key_type": "string"}, {"id": 1, "name": "Group", "key_type": "string"}], "relations": [{"name": "in", "src_domain": 0, "tgt_domain": 1, "file": "members.tsv"}]}))
+    graph = str(tmp_path / "g")
+    assert main(["build", str(tmp_path / "m.json"), graph], spark) == 0
+    main(["inspect", graph, "--json"], spark)
+    assert {r["relation"]: r["edge_count"] for r in json.loads(capsys.readouterr().out)["relations"]} == {"in": 3}
+    assert main(["validate", graph], spark) == 0 and main(["diff", graph, graph], spark) == 0
+    capsys.readouterr()
+    (tmp_path / "q.dl").write_text("mates(X, Y) :- in(X, G), in(Y, G).")
+    main(["run", graph, str(tmp_path / "q.dl"), "--arguments", '{"goal": "mates"}'], spark)
+    assert len(capsys.readouterr().out.splitlines()) == 4
+    main(["compile", str(tmp_path / "q.dl")], spark)
+    assert "mates" in capsys.readouterr().out
+    main(["generate", "star", str(tmp_path / "star"), "--options", '{"nodes": 5}'], spark)
+    assert spark.read.csv(str(tmp_path / "star"), sep="\t", header=True).count() == 4
+    main(["stats", graph, "in"], spark)
+    assert '"edge_count": 3' in capsys.readouterr().out
+    (tmp_path / "q.unknown").write_text("")
+    with pytest.raises(ValueError, match="no language"):
+        main(["compile", str(tmp_path / "q.unknown")], spark)
