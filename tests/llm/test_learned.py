@@ -159,3 +159,54 @@ def test_many_unlinked_members_of_one_bucket(spark):
     rows += [(10_000 + k, rows[k * 7][1] + " tail") for k in range(20)]
     got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: c for i, c in got.items() if i != c} == {10_000 + k: k * 7 for k in range(20)}
+
+
+def em_by_hand(logs, grams, rounds):
+    """Proportions and log likelihood over all columns of ``logs``, gram by gram."""
+    k = len(logs[0])
+    share = [1 / k] * k
+    like = [[math.exp(x) for x in logs[g]] for g in grams]
+    for _ in range(rounds):
+        new = [0.0] * k
+        for row in like:
+            total = sum(s * x for s, x in zip(share, row, strict=True))
+            for j in range(k):
+                new[j] += share[j] * row[j] / total / len(grams)
+        moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+        share = new
+        if moved < langid.TOLERANCE:
+            break
+    return share, sum(math.log(sum(s * x for s, x in zip(share, row, strict=True))) for row in like)
+
+
+def test_mixtures_against_expectation_maximisation_by_hand():
+    """The set of languages is what taking the least one away, as long as the penalised likelihood does not fall, leaves."""
+    rng = random.Random(2)
+    raw = np.array([[rng.random() ** 3 + 1e-3 for _ in range(4)] for _ in range(40)])
+    logs = np.log(raw / raw.sum(axis=0))
+    model = langid.Model(["a", "b", "c", "d"], logs)
+    seen = set()
+    for case in range(30):
+        of = rng.sample(range(4), 1 + case % 3)
+        grams = np.array([rng.choices(range(40), weights=np.exp(logs[:, rng.choice(of)]))[0] for _ in range(400)])
+        cost = 0.5 * math.log(len(grams)) + langid.PENALTY * len(grams)
+        chosen = [0, 1, 2, 3]
+        share, fit = em_by_hand(logs[:, chosen].tolist(), grams, langid.ROUNDS)
+        while len(chosen) > 1:
+            least = min(range(len(chosen)), key=lambda j: share[j])
+            rest = [c for j, c in enumerate(chosen) if j != least]
+            fewer, fit_fewer = em_by_hand(logs[:, rest].tolist(), grams, langid.ROUNDS)
+            if fit - fit_fewer >= cost:
+                break
+            chosen, share, fit = rest, fewer, fit_fewer
+        lang, score, shares = model.infer(grams)
+        assert set(shares) == {"abcd"[c] for c in chosen}
+        assert all(abs(shares["abcd"[c]] - s) < 1e-6 for c, s in zip(chosen, share, strict=True))
+        assert lang == "abcd"[chosen[share.index(max(share))]] and abs(score - max(share)) < 1e-6
+        seen.add(len(chosen))
+    assert seen >= {1, 2}
+
+
+def test_language_ties_go_to_the_first():
+    model = langid.Model(["a", "b"], np.log(np.full((4, 2), 0.25)))
+    assert model.infer(np.array([0, 1, 2, 3]))[:2] == ("a", 1.0)
