@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propgraph.operators.maintenance import numbered
 from propgraph.plans.staging import staged
 
 #: Prime modulus and multipliers of the sampling hash; all products stay within 63 bits.
@@ -45,17 +46,17 @@ def random_walks(edges: DataFrame, start: DataFrame, length: int, restart: float
     """(walker, step, id): independent walkers from each start; a walker restarts at its seed with the
     given probability and stays where it is at a dead end.
 
-    Neighbours are numbered once, so a step is one equi-join on (node, number): no window per step.
+    All edges are numbered once in (src, tgt) order, by range partitions, so a hub's neighbours are spread
+    over tasks; a step adds its draw to the number of the node's first edge and looks that edge up.
     """
-    order = Window.partitionBy("src").orderBy("tgt")
-    links = staged(edges.select("src", "tgt").distinct().withColumn("nth", F.row_number().over(order) - 1), "edges")
-    degrees = staged(links.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "degrees")
+    links = staged(numbered(edges.select("src", "tgt").distinct(), ["src", "tgt"], "at").select("src", "tgt", "at"), "edges")
+    degrees = staged(links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"), F.min("at").alias("first")), "degrees")
     state = staged(start.select(F.col("id").alias("walker"), F.lit(0).alias("step"), "id").distinct(), "walk")
     out = state
     for step in range(1, length + 1):
         here = state.select("walker", F.col("id").alias("src")).join(degrees, "src", "left")
-        pick = here.withColumn("nth", F.when(F.col("deg").isNotNull(), F.pmod(mixed(seed, step, F.col("walker"), F.col("src")), F.col("deg"))).cast("int"))
-        moved = pick.join(links, ["src", "nth"], "left")
+        pick = here.withColumn("at", F.col("first") + F.pmod(mixed(seed, step, F.col("walker"), F.col("src")), F.col("deg")))
+        moved = pick.join(links.select("at", "tgt"), "at", "left")
         coin = mixed(seed + 1, step, F.col("walker")) < int(restart * MODULUS)
         state = staged(moved.select("walker", F.lit(step).alias("step"), F.when(coin, F.col("walker")).otherwise(F.coalesce("tgt", "src")).alias("id")), "walk")
         out = out.unionByName(state)
