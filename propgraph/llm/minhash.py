@@ -44,8 +44,10 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BATCH = 25
 MISS = 1e-5
-#: Members of a bucket that meet in one block on either side, and hashes of full sets that a block holds, about.
+#: Members that meet in one block on either side, and hashes of full sets that a block holds, about.
 BLOCK, BLOCK_HASHES = 512, 1 << 21
+#: Where signatures alone meet, blocks grow beyond this many parts a side, up to so many members.
+SPREAD, LARGE_BLOCK = 16, 4096
 _SALT = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64)).astype(np.uint32)
 _XOR, _MULTIPLY = _SALT[:HASHES, None], _SALT[HASHES:, None] | np.uint32(1)
 
@@ -236,6 +238,12 @@ def _blocks(others: DataFrame, probes: DataFrame, n_others: Column, n_probes: Co
     return left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _parts(members: Column) -> Column:
+    """Parts of a side: small blocks while they are few, so that tasks are even; then larger ones, so
+    that a member is copied ``members / LARGE_BLOCK`` times at most."""
+    return F.greatest(F.least(members / BLOCK, F.lit(float(SPREAD))), members / LARGE_BLOCK)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable), kept."""
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
@@ -272,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     open_rows = where.join(mains, "key").join(slim, "id")
     blocked = _blocks(
         open_rows.withColumn("_ask", F.lit(False)), open_rows.filter("comp <> main").withColumn("_ask", F.lit(True)),
-        F.col("size") / BLOCK, (F.col("size") - F.col("in_main")) / BLOCK, ["comp", "weight", "n", "sig"],
+        _parts(F.col("size")), _parts(F.col("size") - F.col("in_main")), ["comp", "weight", "n", "sig"],
     )
     near = staged(blocked.mapInPandas(_crossing(percent), "a long, comp long").distinct(), "near-components")
     sizes = slim.select(F.col("id").alias("a"), "n")

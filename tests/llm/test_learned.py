@@ -161,6 +161,16 @@ def test_many_unlinked_members_of_one_bucket(spark):
     assert {i: c for i, c in got.items() if i != c} == {10_000 + k: k * 7 for k in range(20)}
 
 
+def test_large_blocks_lose_no_link(spark, monkeypatch):
+    """The same members with blocks so small that buckets are cut into many, and into large ones beyond a few."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "SPREAD", 3)
+    monkeypatch.setattr(minhash, "LARGE_BLOCK", 60)
+    parts = spark.range(1).select(*[minhash._parts(F.lit(n)) for n in (10, 40, 60, 180, 600)]).head()
+    assert list(parts) == [0.5, 2, 3, 3, 10]
+    test_many_unlinked_members_of_one_bucket(spark)
+
+
 def em_by_hand(logs, grams, rounds):
     """Proportions and log likelihood over all columns of ``logs``, gram by gram."""
     k = len(logs[0])
