@@ -257,38 +257,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     classes = staged(classes, "near-classes")
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = staged(members.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-buckets")
-    members = staged(members.join(buckets, "key"), "near-members")
+    total = classes.count()
+    members = staged(lookup(members, buckets, "key", "size", BANDS * total), "near-members")
     slim = classes.select("id", "n", "sig")
 
     def ends(pairs: DataFrame) -> DataFrame:
         a = slim.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         b = slim.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        return pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        a = a.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")), "a")  # many buckets may have one least id
+        return lookup(pairs, a, "a", "pairs", pairs.count()).drop("pairs").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
-    pairs = members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = staged(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "near-met")
     pairs = staged(ends(pairs).mapInPandas(_pruned(percent), "a long, b long").distinct(), "near-pairs")
     links = staged(_verified(pairs, texts, classes, percent), "near-links")
     joined = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # buckets that still hold more than one component
     comps = classes.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    comps = staged(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "comp"), "near-comps")
+    weights = staged(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "near-weights")
+    comps = staged(lookup(comps, weights, "comp", "weight", total), "near-comps")
     where = members.join(comps, "id").select("key", "id", "size", "comp", "weight")
     parts = where.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    mains = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m"), F.count(F.lit(1)).alias("parts"))
-    mains = staged(mains.filter("parts > 1").select("key", F.col("m.comp").alias("main"), F.col("m.rows").alias("in_main")), "near-open")
-    open_rows = where.join(mains, "key").join(slim, "id")
+    mains = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"))
+    mains = staged(mains.filter("parts > 1").select("key", F.col("m.comp").alias("main"), F.col("m.rows").alias("in_main"), "rows"), "near-open")
+    open_rows = lookup(where, mains, "key", "rows", members.count()).join(slim, "id")
     blocked = _blocks(
         open_rows.withColumn("_ask", F.lit(False)), open_rows.filter("comp <> main").withColumn("_ask", F.lit(True)),
         _parts(F.col("size")), _parts(F.col("size") - F.col("in_main")), ["comp", "weight", "n", "sig"],
     )
     near = staged(blocked.mapInPandas(_crossing(percent), "a long, comp long").distinct(), "near-components")
     sizes = slim.select(F.col("id").alias("a"), "n")
-    asked = staged(near.join(sizes, "a").groupBy("comp").agg(F.count(F.lit(1)).alias("asking"), F.sum("n").alias("asking_hashes")), "near-asked")
-    held = comps.join(asked.select("comp"), "comp", "left_semi").join(slim.select("id", "n"), "id").groupBy("comp").agg(F.sum("n").alias("hashes"))
-    asked = asked.join(held, "comp")
-    inside = comps.join(asked, "comp").join(slim, "id").withColumn("key", F.col("comp"))
-    asking = near.join(asked, "comp").join(comps.select("comp", "weight").distinct(), "comp").withColumnRenamed("a", "id").join(slim, "id").withColumn("key", F.col("comp"))
+    asked = near.join(sizes, "a").groupBy("comp").agg(F.count(F.lit(1)).alias("asking"), F.sum("n").alias("asking_hashes"))
+    asked = staged(asked.join(weights, "comp"), "near-asked")
+    comps = comps.drop("weight")
+    held = lookup(comps, asked.select("comp", "weight"), "comp", "weight", total).join(slim.select("id", "n"), "id").groupBy("comp").agg(F.sum("n").alias("hashes"))
+    asked = staged(asked.join(held, "comp"), "near-held")
+    inside = lookup(comps, asked, "comp", "weight", total).join(slim, "id").withColumn("key", F.col("comp"))
+    asking = lookup(near, asked, "comp", "asking", near.count()).withColumnRenamed("a", "id").join(slim, "id").withColumn("key", F.col("comp"))
     sets = staged(_sets(inside.select("id").unionByName(asking.select("id")), texts, classes), "near-sets")
     n_inside = F.greatest(F.col("weight") / BLOCK, F.col("hashes") / BLOCK_HASHES)
     n_asking = F.greatest(F.col("asking") / BLOCK, F.col("asking_hashes") / BLOCK_HASHES)
