@@ -7,10 +7,10 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propgraph.functions import statistics
+from propgraph.functions import signatures, statistics
 from propgraph.model import PropertyGraph
 from propgraph.operators import maintenance
-from propgraph.plans import dispatch
+from propgraph.plans import dispatch, program, records
 from propgraph.sources import files, generate
 
 
@@ -35,7 +35,12 @@ def _parser() -> argparse.ArgumentParser:
     add("generate", "profile", "folder", options="{}", attributes="", format="tsv")
     add("run", "graph", "file", arguments="{}", limit="20")
     add("compile", "file")
+    add("assemble", "file", "out")
+    add("disassemble", "file")
     add("digest", "table")
+    add("keygen", "prefix")
+    add("sign", "graph", "key")
+    add("verify", "graph", "key")
     return top
 
 
@@ -50,6 +55,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "compile":
         print(dispatch.compiled(open(a.file).read(), dispatch.language_of(a.file)))
         return 0
+    if a.command == "assemble":
+        made = records.encode(program.assemble(open(a.file).read()))
+        with open(a.out, "wb") as out:
+            out.write(made.code)
+        with open(f"{a.out}.json", "w") as out:
+            json.dump({"constants": made.constants, "names": made.names}, out)
+        return 0
+    if a.command == "disassemble":
+        with open(a.file, "rb") as code, open(f"{a.file}.json") as beside:
+            print(program.disassemble(records.decode(records.Records(code.read(), **json.load(beside)))))
+        return 0
+    if a.command == "keygen":
+        signatures.write_keys(a.prefix)
+        return 0
     spark = spark or SparkSession.builder.appName("propgraph").getOrCreate()
     if a.command == "build":
         text = "\n".join(r.value for r in spark.read.text(a.manifest, wholetext=True).collect())
@@ -88,6 +107,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             _show(out, int(a.limit))
         else:
             print(json.dumps(out, default=str))
+    elif a.command == "sign":
+        signatures.sign_graph(spark, a.graph, bytes.fromhex(open(a.key).read().strip()))
+    elif a.command == "verify":
+        good = signatures.verify_graph(spark, a.graph, bytes.fromhex(open(a.key).read().strip()))
+        print("valid" if good else "not valid")
+        return int(not good)
     elif a.command == "digest":
         _show(maintenance.content_digest(spark.read.parquet(a.table)))
     return 0

@@ -55,11 +55,20 @@ def assemble(text: str) -> Program:
         if line:
             op, _, rest = line.partition(" ")
             args = [a.strip() for a in re.findall(r'(?:[^",]|"[^"]*")+', rest) if a.strip()]
+            if args and all(re.match(r"(?i)(dst|payload|flags)\s*=", a) for a in args):
+                args = _from_named(args)
             flags = {a for a in args if a.upper() in FLAGS}
             out.append(Instruction(op.upper().removeprefix("OP_"), [a for a in args if a not in flags], {f.upper() for f in flags}))
     return Program(out, labels, names)
 
 
+def _from_named(args: list[str]) -> list[str]:
+    """Operands in order, from ``dst=R1, payload=R0 | REL_0, flags=INVERT``."""
+    given = {k.strip().lower(): [w.strip() for w in v.split("|")] for k, _, v in (a.partition("=") for a in args)}
+    flags = [f.upper().removeprefix("FLAG_").removeprefix("MODE_") for f in given.get("flags", [])]
+    return [*given.get("dst", []), *given.get("payload", []), *(f for f in flags if f in FLAGS)]
+
+
 def disassemble(program: Program) -> str:
     """The text of a program, with labels where they point."""
     at = {v: k for k, v in program.labels.items()}
@@ -226,7 +235,7 @@ class Machine:
             ring = (a[2] if len(a) > 2 else "PLUS_TIMES").removeprefix("SEMIRING_").lower()
             return (vectors.mxv if op == "MXV" else vectors.vxm)(self._relation(a[1]).edges, self._vector(a[0]), ring)
         if op in ("EWISE_ADD", "EWISE_MULT"):
-            how = (a[2] if len(a) > 2 else "ADD" if op == "EWISE_ADD" else "MUL").lower()
+            how = (a[2] if len(a) > 2 else "ADD" if op == "EWISE_ADD" else "MUL").upper().removeprefix("BINARY_OP_").lower()
             return (vectors.ewise_add if op == "EWISE_ADD" else vectors.ewise_mult)(self._vector(a[0]), self._vector(a[1]), how)
         if op in ("REDUCE", "VECTOR_REDUCE_SUM"):
             return vectors.reduce(self._vector(a[0]), a[1].lower() if len(a) > 1 else "add").head()[0]

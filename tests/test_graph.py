@@ -6,11 +6,12 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from propgraph.functions import signatures
 from propgraph.model import PropertyGraph
 from propgraph.operators import maintenance, ranking, sampling, sets, structure, traversal, vectors, walk
 from propgraph.operators.components import connected_components
 from propgraph.operators.joins import lookup
-from propgraph.plans import cypher, datalog, program, sexpr
+from propgraph.plans import cypher, datalog, program, records, sexpr
 from propgraph.sources import files, generate
 
 
@@ -413,3 +414,59 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "q.unknown").write_text("")
     with pytest.raises(ValueError, match="no language"):
         main(["compile", str(tmp_path / "q.unknown")], spark)
+
+
+def test_records_of_programs():
+    text = """.relation "follows" = 3
+    .domain "user" = 1
+    OP_INIT_INPUT_NODE R1, 7
+    again: OP_CSR_WALK R2, R1, follows
+    OP_MXV R5, R2, REL_3, SEMIRING_MIN_PLUS
+    OP_EWISE_MULT R6, R5, R5
+    OP_CSC_WALK R7, R2, REL_3
+    OP_CSC_WALK R8, R2, R9, REL_3
+    OP_NODE_FILTER R9, R2, DOMAIN_1, "id < 3, or 9"
+    OP_LOAD_INLINE_ARRAY R10, 4, 5, 6
+    OP_SET_UNION R1, R1, R2, ACCUMULATE, INVERT
+    OP_JNZ R2, again
+    OP_COLLECT_BITSET R63, R1
+    OP_HALT"""
+    made = records.encode(program.assemble(text))
+    assert len(made.code) == 8 * 12 and made.constants == ['"id < 3, or 9"', "4, 5, 6"]
+    assert made.code[:16] == struct.pack("<BBHI", 2, 0, 1, 7) + struct.pack("<BBHI", 0x10, 0, 2, 1 | 3 << 16)
+    assert made.code[16:24] == struct.pack("<BBHI", 0x41, 0, 5, 2 | 3 << 8 | 1 << 16)
+    assert made.code[32:48] == struct.pack("<BBHI", 0x18, 0, 7, 2 | 63 << 16 | 3 << 24) + struct.pack("<BBHI", 0x18, 0, 8, 2 | 9 << 16 | 3 << 24)
+    assert made.code[64:72] == struct.pack("<BBHI", 0x30, 6, 1, 1 | 2 << 16) and made.code[72:80] == struct.pack("<BBHi", 0x52, 0, 2, -8)
+    back = records.decode(made)
+    assert records.encode(back) == made and records.encode(program.assemble(program.disassemble(back))) == made
+    named = program.assemble("OP_SET_UNION flags=FLAG_INVERT | ACCUMULATE, dst=R1, payload=R1 | R2").instructions[0]
+    assert (named.args, named.flags) == (["R1", "R1", "R2"], {"INVERT", "ACCUMULATE"})
+    assert set(records.SHAPE) == set(records.OPCODES)
+    for wrong in ("OP_CSR_WALK R64, R0, REL_0", "OP_CSR_WALK R1, R0, nowhere", "OP_CSR_WALK R1, R0", "OP_NONSENSE R1", "OP_CSR_WALK R1, R0, REL_70000"):
+        with pytest.raises(ValueError):
+            records.encode(program.assemble(wrong))
+    for code in (b"\xff" + bytes(7), bytes(7)):
+        with pytest.raises(ValueError):
+            records.decode(records.Records(code))
+
+
+def test_signatures(spark, tmp_path):
+    secret = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")  # first vector of RFC 8032
+    public = signatures.public_key(secret)
+    assert public.hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
+    signed = signatures.sign(secret, b"")
+    assert signed.hex() == "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"
+    assert signatures.verify(public, b"", signed) and not signatures.verify(public, b"x", signed) and not signatures.verify(public, b"", signed[:-1])
+    assert not signatures.verify(public, b"", signed[:32] + (int.from_bytes(signed[32:], "little") + signatures.ORDER).to_bytes(32, "little"))
+    signatures.write_keys(str(tmp_path / "key"))
+    secret, public = (bytes.fromhex((tmp_path / f"key.{e}").read_text()) for e in ("priv", "pub"))
+    assert (tmp_path / "key.priv").stat().st_mode & 0o77 == 0
+    g = PropertyGraph(spark)
+    g.add_domain("user", spark.range(4))
+    g.add_relation("follows", "user", "user", edges(spark, CLIQUE))
+    path = str(tmp_path / "graph")
+    g.save(path)
+    signatures.sign_graph(spark, path, secret)
+    assert signatures.verify_graph(spark, path, public)
+    edges(spark, UP).write.mode("overwrite").parquet(f"{path}/relations/follows")
+    assert not signatures.verify_graph(spark, path, public)
