@@ -20,10 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from propgraph.llm.batches import cut, release, rows
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 2000
@@ -106,29 +107,28 @@ def held_out(ident: Column) -> Column:
 
 def training_rows(docs: DataFrame, id_column: str, text_column: str, label_column: str, most: int = TRAIN_DOCS) -> DataFrame:
     """(label, text): at most ``most`` documents of each label that are not held out, by the least hash."""
-    rows = docs.filter(~held_out(docs[id_column]) & docs[label_column].isNotNull() & docs[text_column].isNotNull())
-    rows = rows.select(docs[label_column].cast("string").alias("label"), docs[text_column].alias("text"), F.shiftrightunsigned(F.xxhash64(docs[id_column]), 11).alias("h"))
-    share = rows.groupBy("label").agg(F.least(F.lit(1.0), 1.5 * most / F.count(F.lit(1)) + 0.0).alias("share"))
+    known = docs.filter(~held_out(docs[id_column]) & docs[label_column].isNotNull() & docs[text_column].isNotNull())
+    known = known.select(docs[label_column].cast("string").alias("label"), docs[text_column].alias("text"), F.shiftrightunsigned(F.xxhash64(docs[id_column]), 11).alias("h"))
+    share = known.groupBy("label").agg(F.least(F.lit(1.0), 1.5 * most / F.count(F.lit(1)) + 0.0).alias("share"))
     # one row a label, while the models hold 2^16 numbers for each
-    near = rows.join(F.broadcast(share), "label").filter(F.col("h") <= F.col("share") * float(1 << 53))  # so a window sees a bounded number of rows
+    near = known.join(F.broadcast(share), "label").filter(F.col("h") <= F.col("share") * float(1 << 53))  # so a window sees a bounded number of rows
     first = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
     return near.withColumn("_rank", first).filter(F.col("_rank") <= most).select("label", "text")
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for pdf in batches:
-        for label, text in zip(pdf["label"], pdf["text"], strict=True):
-            have = total.setdefault(label, np.zeros(BUCKETS, dtype=np.int64))
-            have += np.bincount(trigrams(text), minlength=BUCKETS)
+    for label, text in rows(batches):
+        have = total.setdefault(label, np.zeros(BUCKETS, dtype=np.int64))
+        have += np.bincount(trigrams(text), minlength=BUCKETS)
     for label, counts in total.items():
-        yield pd.DataFrame({"label": label, "counts": [counts.astype("<i8").tobytes()]})
+        yield pa.RecordBatch.from_pydict({"label": [label], "counts": [counts.astype("<i8").tobytes()]})
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model:
     """The languages' models; the driver gets one vector of 2^16 counts a language and training task."""
     total: dict[str, np.ndarray] = {}
-    parts = training_rows(docs, id_column, text_column, label_column).coalesce(8).mapInPandas(_counted, "label string, counts binary")
+    parts = training_rows(docs, id_column, text_column, label_column).coalesce(8).mapInArrow(_counted, "label string, counts binary")
     for row in parts.toLocalIterator():
         total[row.label] = total.get(row.label, 0) + np.frombuffer(row.counts, dtype="<i8")
     languages = sorted(k for k, v in total.items() if v.sum())
@@ -138,19 +138,31 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float64))
 
 
+_ANSWER = pa.struct([("pred", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])
+
+
+def _answer(model: Model, text: str | None) -> dict:
+    pred, score, shares = model.infer(trigrams(text))
+    return {"pred": pred, "score": score, "shares": list(shares.items())}
+
+
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_shares (proportions of the selected languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_shares")]
 
-    @F.pandas_udf(T.StructType([T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))]))
-    def infer(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([shared.value.infer(trigrams(t)) for t in batch], columns=["pred", "score", "shares"])
+    @F.arrow_udf("pred string, score double, shares map<string, double>")
+    def infer(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            found = [pa.array([_answer(shared.value, t) for t in part.to_pylist()], _ANSWER) for part in cut(array)]
+            array = None
+            yield pa.concat_arrays(found) if found else pa.array([], _ANSWER)
+            found = None
+        release()
 
     own = "_lang" + "_" * max(map(len, docs.columns))  # a name that no column has
-    rows = docs.select(*kept, infer(docs[text_column]).alias(own))
-    return rows.select(*kept, F.col(f"{own}.pred").alias("lang_pred"), F.col(f"{own}.score").alias("lang_score"), F.col(f"{own}.shares").alias("lang_shares"))
+    judged = docs.select(*kept, infer(docs[text_column]).alias(own))
+    return judged.select(*kept, F.col(f"{own}.pred").alias("lang_pred"), F.col(f"{own}.score").alias("lang_score"), F.col(f"{own}.shares").alias("lang_shares"))
 
 
 def langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,9 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propgraph.llm.batches import each, released
 from propgraph.llm.words import mix64, shingle_set
 from propgraph.operators.components import connected_components
 from propgraph.operators.joins import lookup
@@ -105,27 +107,33 @@ def _bytes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), HASHES)
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), 500):
-            rows = []
-            part = pdf.iloc[at : at + 500]
-            for ident, text in zip(part["id"], part["text"], strict=True):
-                s = shingle_set(text)
-                if len(s):
-                    minima = signature(s)
-                    rows.append((ident, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (minima & np.uint32(255)).astype(np.uint8).tobytes(), band_keys(minima)))
-                else:
-                    rows.append((ident, 0, b"", None, None))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "sig", "bands"])
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), 200):
-            part = pdf.iloc[at : at + 200]
-            sets = [shingle_set(t) for t in part["text"]]
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "set": [s.view(np.int64) for s in sets]})
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        n, digests, sigs, bands = [], [], [], []
+        for text in part.column("text").to_pylist():
+            s = shingle_set(text)
+            minima = signature(s) if len(s) else None
+            n.append(len(s))
+            digests.append(_digest(s) if len(s) else b"")
+            sigs.append((minima & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
+            bands.append(band_keys(minima) if len(s) else None)
+        columns = [part.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "sig", "bands"])
+
+    return each(one, batches)
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+        columns = [part.column("id"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "digest", "set"])
+
+    return each(one, batches)
 
 
 def _pruned(percent: int):
@@ -136,7 +144,7 @@ def _pruned(percent: int):
             if len(pdf):
                 yield pdf.iloc[survives(_bytes(pdf["sig_a"]), _bytes(pdf["sig_b"]), bounds)][["a", "b"]]
 
-    return prune
+    return released(prune)
 
 
 def _by_block(one):
@@ -164,7 +172,7 @@ def _by_block(one):
         if held and (out := one(pd.concat(held))) is not None:
             yield out
 
-    return run
+    return released(run)
 
 
 def _crossing(percent: int):
@@ -214,7 +222,7 @@ def _linking(percent: int):
 def _sets(ids: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, set) of class representatives, from their texts."""
     wanted = classes.select("id", "digest").join(ids.select("id").distinct(), "id", "left_semi")
-    read = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInPandas(_full_sets, "id long, digest binary, set array<long>")
+    read = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_full_sets, "id long, digest binary, set array<long>")
     return read.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "set")
 
 
@@ -247,9 +255,7 @@ def _parts(members: Column) -> Column:
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable), kept."""
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
-    named = texts.withColumn("id", F.col("id").cast("string"))  # beside a null, pandas would make floats of ids
-    sketches = named.mapInPandas(_sketched, "id string, n long, digest binary, sig binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
-    sketches = staged(sketches, "near-sketches")
+    sketches = staged(texts.mapInArrow(_sketched, "id long, n long, digest binary, sig binary, bands array<long>"), "near-sketches")
     full = sketches.filter("n > 0 and id is not null")
     classes = full.groupBy("digest").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")

@@ -22,11 +22,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propgraph.llm.batches import rows
 from propgraph.llm.tokens import chunk_ids
 from propgraph.plans.staging import staged
 
@@ -79,24 +80,26 @@ class Windows:
         return [self.held[key] for _, key in self.open]
 
 
-#: Ids travel as text: beside a null, pandas would make floats of them.
-_SCHEMA = "id string, row long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
+_SCHEMA = "id long, row long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
 
 
-def _table(sequences: list[tuple[int, list, bool]]) -> pd.DataFrame:
-    rows = []
+_TYPES = {"id": pa.int64(), "row": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "open": pa.bool_()}
+
+
+def _table(sequences: list[tuple[int, list, bool]]) -> pa.RecordBatch:
+    out = []
     for number, pieces, is_open in sequences:
         offset = 0
         for ident, row, start, ids, total in pieces:
-            rows.append((ident, row, start, len(ids) // 4, ids, total, number, offset, is_open))
+            out.append((ident, row, start, len(ids) // 4, ids, total, number, offset, is_open))
             offset += len(ids) // 4
-    return pd.DataFrame(rows, columns=["id", "row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "open"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES.values(), strict=True)], list(_TYPES))
 
 
 def _first_pass(tokenizer: str, end_id: int, capacity: int, windows: int, least_cut: int):
     tail = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = chunk_ids(tokenizer)
         number = TaskContext.get().partitionId() << 33
         row = number
@@ -108,14 +111,13 @@ def _first_pass(tokenizer: str, end_id: int, capacity: int, windows: int, least_
             number += 1
 
         state = Windows(capacity, windows, least_cut, emit)
-        for pdf in batches:
-            for ident, text in zip(pdf["id"], pdf["text"], strict=True):
-                ids = tokens.of(text) + tail
-                state.add((ident, row, 0, ids, len(ids) // 4))
-                row += 1
-                if len(ready) >= 500:
-                    yield _table(ready)
-                    ready.clear()
+        for ident, text in rows(batches):
+            ids = tokens.of(text) + tail
+            state.add((ident, row, 0, ids, len(ids) // 4))
+            row += 1
+            if len(ready) >= 500:
+                yield _table(ready)
+                ready.clear()
         for pieces in state.leftovers():
             ready.append((number, pieces, True))
             number += 1
@@ -126,10 +128,8 @@ def _first_pass(tokenizer: str, end_id: int, capacity: int, windows: int, least_
 
 
 def _merge_pass(capacity: int, windows: int, least_cut: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces: list = []
-        for pdf in batches:
-            pieces += zip(pdf["id"], pdf["row"], pdf["start"], map(bytes, pdf["ids"]), pdf["doc_tokens"], strict=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = list(rows(batches))
         pieces.sort(key=lambda p: (-len(p[3]), p[1], p[2]))
         number = (1 << 62) + (TaskContext.get().partitionId() << 33)
         ready: list = []
@@ -159,15 +159,14 @@ def _merge_pass(capacity: int, windows: int, least_cut: int):
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, windows: int = 64, least_cut: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pieces of sequences: id, row, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    texts = docs.select(docs[id_column].cast("long").cast("string").alias("id"), docs[text_column].alias("text"))
-    first = staged(texts.mapInPandas(_first_pass(tokenizer, end_id, capacity, windows, least_cut), _SCHEMA), "packed")
+    texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
+    first = staged(texts.mapInArrow(_first_pass(tokenizer, end_id, capacity, windows, least_cut), _SCHEMA), "packed")
     waiting = first.filter("open").select("sequence_id").distinct().count()
     tasks = max(1, waiting // MERGED)
     left = first.filter("open")
     left = left.repartition(tasks, F.xxhash64("sequence_id")) if tasks > 1 else left.coalesce(1)
-    merged = left.mapInPandas(_merge_pass(capacity, windows, least_cut), _SCHEMA)
-    pieces = first.filter("not open").unionByName(merged).drop("open")
-    return pieces.withColumn("id", F.col("id").cast("long"))
+    merged = left.select("id", "row", "start", "ids", "doc_tokens").mapInArrow(_merge_pass(capacity, windows, least_cut), _SCHEMA)
+    return first.filter("not open").unionByName(merged).drop("open")
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
