@@ -39,7 +39,7 @@ class ChunkIds(dict):
     from which those still in use are taken back.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
