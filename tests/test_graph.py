@@ -332,6 +332,51 @@ def test_tiny_improvements_beside_huge_distances(spark):
         assert values(traversal.delta_stepping(e, sets.of(spark, [0]), delta), "id", "dist") == want
 
 
+def _staged_rounds(spark, tag):
+    import os
+
+    from propgraph.plans.staging import shared_dir
+
+    return {n for n in os.listdir(shared_dir(spark).removeprefix("file://")) if n.startswith(tag)}
+
+
+def _odd_graph(spark):
+    """A random graph with parallel edges and loops, a path of 12 and a cycle that leads nowhere else; ids far apart."""
+    pairs = [(r.src * 10**12 - 5, r.tgt * 10**12 - 5) for r in generate.erdos_renyi(spark, 40, 120).collect()]
+    pairs += pairs[:10] + [(pairs[0][0], pairs[0][0])] + [(k, k + 1) for k in range(1000, 1012)] + [(1, 2), (2, 1)]
+    return edges(spark, pairs), spark.createDataFrame([(k,) for k in sorted({x for p in pairs for x in p} | {77})], "id long")
+
+
+def test_path_counts_without_rounds_equal_those_by_rounds(spark):
+    e, n = _odd_graph(spark)
+    by_rounds = values(traversal.shortest_path_counts(e, n, local_edges=0), "s", "id", "level", "sigma")
+    assert _staged_rounds(spark, "paths") and (77, 77, 0, 1.0) in by_rounds and (1000, 1012, 12, 1.0) in by_rounds
+    before = _staged_rounds(spark, "paths")
+    assert values(traversal.shortest_path_counts(e, n), "s", "id", "level", "sigma") == by_rounds
+    assert _staged_rounds(spark, "paths") == before
+
+
+def test_betweenness_without_rounds_equals_that_by_rounds(spark):
+    e, n = _odd_graph(spark)
+    by_rounds = values(traversal.betweenness(e, n, n, local_edges=0).select("id", F.round("val", 6).alias("val")), "id", "val")
+    before = _staged_rounds(spark, "between") | _staged_rounds(spark, "paths")
+    assert dict(by_rounds)[1006] == 6 * 6 and dict(by_rounds)[77] == 0
+    assert values(traversal.betweenness(e, n, n).select("id", F.round("val", 6).alias("val")), "id", "val") == by_rounds
+    assert _staged_rounds(spark, "between") | _staged_rounds(spark, "paths") == before
+
+
+def test_edges_are_looked_at_some_at_a_time(spark, monkeypatch):
+    from propgraph.operators import sweeps
+
+    graph = sweeps.packed(edges(spark, [(5, 7), (5, 9), (7, 9), (9, 5), (9, 7)]))
+    assert graph.ids.tolist() == [5, 7, 9] and graph.at(graph.ids[:1] + 1).tolist() == [-1]
+    assert sweeps.packed(edges(spark, [(5, 7), (5, 9)]), 1) is None
+    for chunk in (1, 2, 3, 100):
+        monkeypatch.setattr(sweeps, "CHUNK", chunk)
+        level, sigma, fronts, _ = sweeps._swept(graph, graph.at(graph.ids), True)
+        assert level.tolist() == [0, 1, 1, 2, 0, 1, 1, 1, 0] and sigma.tolist() == [1.0] * 9 and len(fronts) == 3
+
+
 def test_all_combinations_only_when_asked(spark):
     facts = {"a": spark.range(3), "b": spark.range(4)}
     with pytest.raises(ValueError, match="share no variable"):
