@@ -365,12 +365,24 @@ def test_betweenness_without_rounds_equals_that_by_rounds(spark):
     assert _staged_rounds(spark, "between") | _staged_rounds(spark, "paths") == before
 
 
+def test_closure_without_rounds_equals_that_by_rounds(spark):
+    e, _ = _odd_graph(spark)
+    one, other = e.filter("src % 2 = 0"), e.filter("src % 2 <> 0").union(edges(spark, [(3000, 3001), (None, 2)]))
+    rules = "leads(X, Y) :- asked(X), one(X, Y).\nleads(X, Y) :- asked(X), other(X, Y).\nleads(X, Z) :- leads(X, Y), one(Y, Z).\nleads(A, C) :- other(B, C), leads(A, B)."
+    facts = {"one": one, "other": other, "asked": e.select("src").union(edges(spark, [(3000, 0)]).select("src"))}
+    key = lambda df: sorted(map(str, df.collect()))
+    by_rounds = key(datalog.run(spark, rules, facts, "leads", local_edges=0))
+    before = _staged_rounds(spark, "datalog")
+    assert key(datalog.run(spark, rules, facts, "leads")) == by_rounds and len(by_rounds) > 64
+    assert len(_staged_rounds(spark, "datalog") - before) == 1
+
+
 def test_edges_are_looked_at_some_at_a_time(spark, monkeypatch):
     from propgraph.operators import sweeps
 
     graph = sweeps.packed(edges(spark, [(5, 7), (5, 9), (7, 9), (9, 5), (9, 7)]))
     assert graph.ids.tolist() == [5, 7, 9] and graph.at(graph.ids[:1] + 1).tolist() == [-1]
-    assert sweeps.packed(edges(spark, [(5, 7), (5, 9)]), 1) is None
+    assert sweeps.packed(edges(spark, [(5, 7), (5, 9)]), 1) is None and sweeps.packed(edges(spark, [(5, 7), (7, None)])) is None
     for chunk in (1, 2, 3, 100):
         monkeypatch.setattr(sweeps, "CHUNK", chunk)
         level, sigma, fronts, _ = sweeps._swept(graph, graph.at(graph.ids), True)
