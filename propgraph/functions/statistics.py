@@ -7,6 +7,8 @@ NaN) count as nulls.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +79,51 @@ def distinct_estimate(edges: DataFrame, attribute: str, precision: int = 10) ->
     return edges.agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(attribute).cast("string"), precision)).alias("distinct_estimate"))
 
 
+def exact_quantiles(values: DataFrame, shares: list[float], accuracy: int = 10_000) -> list:
+    """The discrete percentiles of column ``v``, which has no nulls: of n values in order, number n - floor(n - n * share), 1 at least.
+
+    Approximate percentiles bracket each of them, all values are counted between the brackets' ends, and only the distinct
+    values of the bracket that holds a rank by these counts are sorted: about 8 / ``accuracy`` of all in a task. Ends that
+    are off make brackets larger, not results wrong.
+    """
+    margin = 4 / accuracy
+    ends = sorted({min(max(q + m, 0.0), 1.0) for q in shares for m in (-margin, margin)})
+    total, low, high, cuts = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v"), F.percentile_approx("v", ends, accuracy)).head()
+    if not total:
+        return []
+    ranks = [max(1, total - math.floor(total - total * q)) for q in shares]
+    cuts = sorted({low, high, *cuts})
+    slot = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v")))
+    slots = {r.slot: r.n for r in values.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one a bracket
+    before, at = 0, {}
+    for k in sorted(slots):
+        for rank in set(ranks):
+            if before < rank <= before + slots[k]:
+                at[rank] = (k, rank - before)
+        before += slots[k]
+    # a bracket (cuts[k - 1], cuts[k]] is sorted by distinct value
+    wanted = sorted({k for k, _ in at.values()})
+    counted = values.select(slot.alias("slot"), "v").filter(F.col("slot").isin(wanted)).groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("v"))
+    asked = None
+    for k, n in set(at.values()):
+        one = (F.col("slot") == k) & (F.col("upto") >= n) & (F.col("upto") - F.col("n") < n)
+        asked = one if asked is None else asked | one
+    found = {}
+    for r in counted.withColumn("upto", upto).filter(asked).collect():  # one a share at most
+        for rank, (k, n) in at.items():
+            if r.slot == k and r.upto - r.n < n <= r.upto:
+                found[rank] = r.v
+    return [found[rank] for rank in ranks]
+
+
 def equi_depth(edges: DataFrame, attribute: str, buckets: int = 20, accuracy: int = 10_000) -> DataFrame:
-    """(bucket, low, high, n, nulls): buckets of about equal numbers of values, by approximate percentiles; nulls of all."""
+    """(bucket, low, high, n, nulls): buckets between the exact discrete percentiles, of equal numbers of values but for
+    repeated ones; nulls of all. ``accuracy`` is that of the brackets in which they are looked for, not of the result."""
     value = without_markers(attribute, dict(edges.dtypes)[attribute])
     every = edges.select(value.alias("v"))
     rows, nulls = every.filter("v is not null"), every.agg(F.count_if(F.col("v").isNull()).alias("nulls"))
-    cuts = rows.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], accuracy).alias("cuts")).head()[0] or []
+    cuts = exact_quantiles(rows, [i / buckets for i in range(1, buckets)], accuracy)
     at = sum([(F.col("v") > c).cast("int") for c in cuts], F.lit(0))
     return rows.groupBy(at.alias("bucket")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(nulls))  # one row
 
