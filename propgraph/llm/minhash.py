@@ -21,7 +21,7 @@ Defined cases. Null and blank texts have an empty set and are linked with nothin
 null is linked with nothing, has no component and is kept. Rows that repeat share their class;
 rows of one id with different texts count each with its own text, and links of either hold for the
 id. Texts of any length have their whole sets; blocks are cut by the hashes that they hold, so only a single
-text's set must fit into a task. An empty table gives an empty result. Other columns, of any name, are not read.
+text's set must fit into a task. Joins are of shuffled sides whatever their size, so the driver gathers only the heavy keys of the last. An empty table gives an empty result. Other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from propgraph.llm.batches import each, released
 from propgraph.llm.words import mix64, shingle_set
 from propgraph.operators.components import connected_components
-from propgraph.operators.joins import lookup
+from propgraph.operators.joins import lookup, shuffled
 from propgraph.plans.staging import staged
 
 BANDS, ROWS = 40, 5
@@ -221,16 +221,16 @@ def _linking(percent: int):
 
 def _sets(ids: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, set) of class representatives, from their texts."""
-    wanted = classes.select("id", "digest").join(ids.select("id").distinct(), "id", "left_semi")
-    read = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_full_sets, "id long, digest binary, set array<long>")
-    return read.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "set")
+    wanted = shuffled(classes.select("id", "digest"), ids.select("id").distinct(), "id", "left_semi")
+    read = shuffled(texts, wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_full_sets, "id long, digest binary, set array<long>")
+    return shuffled(read, wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "set")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are linked, decided on their full sets."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sets = staged(_sets(ends, texts, classes), "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    both = shuffled(shuffled(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a"), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b").distinct()
 
@@ -263,13 +263,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     classes = staged(classes, "near-classes")
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = staged(members.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-buckets")
-    members = staged(members.join(buckets, "key"), "near-members")
+    members = staged(shuffled(members, buckets, "key"), "near-members")
     slim = classes.select("id", "n", "sig")
 
     def ends(pairs: DataFrame) -> DataFrame:
         a = slim.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         b = slim.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        return pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        return shuffled(shuffled(pairs, a, "a"), b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     pairs = members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     pairs = staged(ends(pairs).mapInPandas(_pruned(percent), "a long, b long").distinct(), "near-pairs")
@@ -277,34 +277,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     joined = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # buckets that still hold more than one component
-    comps = classes.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    comps = staged(comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "comp"), "near-comps")
-    where = members.join(comps, "id").select("key", "id", "size", "comp", "weight")
+    comps = shuffled(classes.select("id"), joined, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    comps = staged(shuffled(comps, comps.groupBy("comp").agg(F.count(F.lit(1)).alias("weight")), "comp"), "near-comps")
+    where = shuffled(members, comps, "id").select("key", "id", "size", "comp", "weight")
     parts = where.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mains = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m"), F.count(F.lit(1)).alias("parts"))
     mains = staged(mains.filter("parts > 1").select("key", F.col("m.comp").alias("main"), F.col("m.rows").alias("in_main")), "near-open")
-    open_rows = where.join(mains, "key").join(slim, "id")
+    open_rows = shuffled(shuffled(where, mains, "key"), slim, "id")
     blocked = _blocks(
         open_rows.withColumn("_ask", F.lit(False)), open_rows.filter("comp <> main").withColumn("_ask", F.lit(True)),
         _parts(F.col("size")), _parts(F.col("size") - F.col("in_main")), ["comp", "weight", "n", "sig"],
     )
     near = staged(blocked.mapInPandas(_crossing(percent), "a long, comp long").distinct(), "near-components")
     sizes = slim.select(F.col("id").alias("a"), "n")
-    asked = staged(near.join(sizes, "a").groupBy("comp").agg(F.count(F.lit(1)).alias("asking"), F.sum("n").alias("asking_hashes")), "near-asked")
-    held = comps.join(asked.select("comp"), "comp", "left_semi").join(slim.select("id", "n"), "id").groupBy("comp").agg(F.sum("n").alias("hashes"))
-    asked = asked.join(held, "comp")
-    inside = comps.join(asked, "comp").join(slim, "id").withColumn("key", F.col("comp"))
-    asking = near.join(asked, "comp").join(comps.select("comp", "weight").distinct(), "comp").withColumnRenamed("a", "id").join(slim, "id").withColumn("key", F.col("comp"))
+    asked = staged(shuffled(near, sizes, "a").groupBy("comp").agg(F.count(F.lit(1)).alias("asking"), F.sum("n").alias("asking_hashes")), "near-asked")
+    held = shuffled(shuffled(comps, asked.select("comp"), "comp", "left_semi"), slim.select("id", "n"), "id").groupBy("comp").agg(F.sum("n").alias("hashes"))
+    asked = shuffled(asked, held, "comp")
+    inside = shuffled(shuffled(comps, asked, "comp"), slim, "id").withColumn("key", F.col("comp"))
+    asking = shuffled(shuffled(near, asked, "comp"), comps.select("comp", "weight").distinct(), "comp").withColumnRenamed("a", "id")
+    asking = shuffled(asking, slim, "id").withColumn("key", F.col("comp"))
     sets = staged(_sets(inside.select("id").unionByName(asking.select("id")), texts, classes), "near-sets")
     n_inside = F.greatest(F.col("weight") / BLOCK, F.col("hashes") / BLOCK_HASHES)
     n_asking = F.greatest(F.col("asking") / BLOCK, F.col("asking_hashes") / BLOCK_HASHES)
-    blocked = _blocks(inside.join(sets, "id").withColumn("_ask", F.lit(False)), asking.join(sets, "id").withColumn("_ask", F.lit(True)), n_inside, n_asking, ["n", "sig", "set"])
+    blocked = _blocks(shuffled(inside, sets, "id").withColumn("_ask", F.lit(False)), shuffled(asking, sets, "id").withColumn("_ask", F.lit(True)), n_inside, n_asking, ["n", "sig", "set"])
     more = staged(blocked.mapInPandas(_linking(percent), "a long, b long").distinct(), "near-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         joined = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    answer = classes.select("digest", "docs", "id").join(joined, "id", "left").select("digest", "docs", F.coalesce("component", "id").alias("component_id"))
+    answer = shuffled(classes.select("digest", "docs", "id"), joined, "id", "left").select("digest", "docs", F.coalesce("component", "id").alias("component_id"))
     found = lookup(full.select("id", "n", "digest"), answer, "digest", "docs", full.count())
     alone = sketches.filter("n = 0 or id is null").select("id", "n", "digest", F.col("id").alias("component_id"), F.lit(1).alias("docs"))
     out = found.select("id", "n", "component_id").unionByName(alone.select("id", "n", "component_id"))

@@ -220,3 +220,19 @@ def test_mixtures_against_expectation_maximisation_by_hand():
 def test_language_ties_go_to_the_first():
     model = langid.Model(["a", "b"], np.log(np.full((4, 2), 0.25)))
     assert model.infer(np.array([0, 1, 2, 3]))[:2] == ("a", 1.0)
+
+
+def test_near_duplicates_broadcasts_nothing_before_its_last_join(spark):
+    def broadcasts(since):
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        runs = [runs.apply(k) for k in range(runs.size())]
+        return max(x.executionId() for x in runs), sum("BroadcastExchange" in x.physicalPlanDescription() for x in runs if x.executionId() > since)
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, *([f"x{i}"] if i % 2 else [])])) for i in range(8)] + [(8, "quite another text of seven words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.count()
+    began, _ = broadcasts(-1)
+    out = minhash.near_duplicates(docs)
+    assert broadcasts(began)[1] == 0
+    assert {r["id"]: r["component_id"] for r in out.collect()} == {**dict.fromkeys(range(8), 0), 8: 8}
